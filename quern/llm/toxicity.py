@@ -21,8 +21,10 @@ from .text import U, batch_words, mix
 SPACE = 1 << 20
 #: Labelled documents learnt from, at most.
 TRAIN_ROWS = 12_000
+#: Documents of the sample that a feature must be in to get a weight.
+LEAST_DOCS = 5
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 1.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[48:58] = LETTERS[97:123] = LETTERS[128:] = True
@@ -52,6 +54,8 @@ def train(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature, weight) of the non-zero weights; feature SPACE is the intercept."""
     z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
     doc, feature = features(pa.array(texts, pa.string()))
+    often = np.bincount(feature, minlength=SPACE)[feature] >= LEAST_DOCS
+    doc, feature = doc[often], feature[often]
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     order = np.random.default_rng(0)
 
