@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labelled import training_ids
+from .labelled import training_texts
 from .store import small_batches
 from .text import U, pieces, raw, words
 
 #: Labelled documents learnt from, at most.
-TRAIN_ROWS = 30_000
+TRAIN_ROWS = 12_000
 TREES = 60
 DEPTH = 3
 BINS = 32
@@ -213,13 +213,13 @@ def compiled(model: tuple[list[tuple], np.ndarray, float], stats: str = "stats")
     return 1 / (1 + F.exp(-reduce(add, terms, F.lit(intercept))))
 
 
-def learn(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[tuple], np.ndarray, float]:
-    """Fit on the statistics of at most ``most`` labelled rows, which come to the driver as numbers only.
+def learn_from(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[tuple], np.ndarray, float]:
+    """Fit on the statistics of at most ``most`` labelled documents, which come to the driver as numbers only.
 
-    rows: (doc_id, stats).  Without labelled rows every score is one half.
+    Without labelled documents every score is one half.
     """
-    ids = training_ids(labels, "quality", most)
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "stats.*").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", *NAMES])
+    sample = training_texts(docs, labels, "quality", most)
+    got = with_statistics(sample, ["doc_id", "y"]).select("doc_id", "y", "stats.*").toPandas().sort_values(["doc_id", *NAMES])
     if got.empty:
         return [], np.zeros(0), 0.0
     return fit(got[NAMES].to_numpy(float), got["y"].to_numpy(float))
