@@ -35,8 +35,8 @@ from .text import U, batch_words, mix
 #: Counts up to K are discounted.
 K = 5
 #: Tokens of a chunk, and of an owner's share, about.
-CHUNK = 1_500_000
-SHARE = 3_000_000
+CHUNK = 1_000_000
+SHARE = 1_500_000
 #: Owners of a frequent context.
 SALTS = 32
 END = U(0x243F6A8885A308D3)
