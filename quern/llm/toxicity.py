@@ -50,13 +50,14 @@ def features(texts: pa.Array, weight_of: np.ndarray | None = None) -> tuple[np.n
     return key // SPACE, key % SPACE
 
 
-def train(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, weight) of the non-zero weights; feature SPACE is the intercept."""
+def train(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, weight) of the non-zero weights; feature SPACE is the intercept. examples: each text's distinct features."""
     z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
-    doc, feature = features(pa.array(texts, pa.string()))
-    often = np.bincount(feature, minlength=SPACE)[feature] >= LEAST_DOCS
-    doc, feature = doc[often], feature[often]
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    docs = np.zeros(SPACE, dtype=np.int64)
+    for f in examples:
+        docs[f] += 1
+    often = docs >= LEAST_DOCS
+    examples = [f[often[f]] for f in examples]
     order = np.random.default_rng(0)
 
     def weights(i):
@@ -65,8 +66,8 @@ def train(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.where((np.abs(zi) <= L1) & ~free, 0.0, -(zi - np.sign(zi) * L1 * ~free) / ((BETA + np.sqrt(n[i])) / ALPHA + L2 * ~free))
 
     for _ in range(EPOCHS):
-        for k in order.permutation(len(texts)):
-            i = np.append(feature[ends[k] : ends[k + 1]], SPACE)
+        for k in order.permutation(len(examples)):
+            i = np.append(examples[k], SPACE)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
             root = np.sqrt(n[i])
@@ -84,18 +85,23 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     """
     small_batches(docs.sparkSession)
 
+    def read(batches):
+        for batch in batches:
+            doc, feature = features(batch.column(1))
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            packed = [feature[i:j].astype(np.int32).tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"])
+
     def run(batches):
-        texts, ids, y = [], [], []
+        rows = []
         for b in batches:
-            ids += b.column(0).to_pylist()
-            texts += b.column(1).to_pylist()
-            y += b.column(2).to_pylist()
-        if texts:
-            order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))  # whatever order the rows came in
-            kept, w = train([texts[k] for k in order], np.array([y[k] for k in order]))
+            rows += zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+        if rows:
+            rows.sort()  # whatever order the rows came in
+            kept, w = train([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows]))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], names=["feature", "weight"])
 
-    sample = training_texts(docs, labels, "toxic", most).select("doc_id", "text", "y")
+    sample = training_texts(docs, labels, "toxic", most).select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, features binary")
     rows = sample.repartition(1).mapInArrow(run, "feature long, weight double").toArrow()
     return rows["feature"].to_numpy(), rows["weight"].to_numpy()
 
