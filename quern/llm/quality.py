@@ -8,7 +8,7 @@ whose weight isn't zero are compiled into one Spark column expression.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -209,8 +209,11 @@ def compiled(model: tuple[list[tuple], np.ndarray, float], stats: str = "stats")
     def one(rule):
         return reduce(and_, [(F.col(f"{stats}.{NAMES[j]}") <= v) if op == "<=" else (F.col(f"{stats}.{NAMES[j]}") > v) for j, op, v in rule])
 
+    def total(terms):  # a balanced tree: hundreds of nested sums would be too deep a plan
+        return terms[0] if len(terms) == 1 else total(terms[: len(terms) // 2]) + total(terms[len(terms) // 2 :])
+
     terms = [F.when(one(r), F.lit(float(w))).otherwise(F.lit(0.0)) for r, w in zip(rules, weights, strict=True)]
-    return 1 / (1 + F.exp(-reduce(add, terms, F.lit(intercept))))
+    return 1 / (1 + F.exp(-total([F.lit(intercept), *terms])))
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[tuple], np.ndarray, float]:
