@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -148,21 +149,21 @@ def compare_edits(docs: DataFrame, terms: np.ndarray, slices: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(base.stat.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
-    part = F.coalesce(sum((F.when(F.col("doc_id") >= int(c), 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)) if len(cuts) < 8 else F.coalesce(
-        F.expr("size(filter(array(" + ",".join(str(int(c)) for c in cuts) + "), c -> c <= doc_id))"), F.lit(0))
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    firsts = [(r["part"], r["first"]) for r in base.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")).orderBy("part").collect()]
+    cuts = np.array(sorted(set(base.stat.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else [], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
+
+    part = part_of(F.coalesce("doc_id", F.lit(-(2**63))))  # null ids go to the first range
+
+    firsts = base.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")).orderBy("part").collect()
     if not firsts:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
     # one row of each range's first id, the one of least text, is what follows the range before
-    heads = base.where(F.col("doc_id").isin([f for f in before if f is not None]) | (F.col("doc_id").isNull() if None in before else F.lit(False)))
-    heads = heads.groupBy("doc_id").agg(F.min("text").alias("text"))
-    to = F.lit(None).cast("int")
-    for f, p in before.items():
-        to = F.when(F.col("doc_id").eqNullSafe(F.lit(f).cast("long")), p).otherwise(to)
-    rows = base.select(part.alias("part"), F.lit(False).alias("follows"), "doc_id", "text").union(heads.select(to.alias("part"), F.lit(True), "doc_id", "text"))
+    before = spark.createDataFrame([(firsts[i]["first"], firsts[i - 1]["part"]) for i in range(len(firsts))], "first long, to int")
+    heads = base.join(F.broadcast(before), base.doc_id.eqNullSafe(before['first'])).groupBy("doc_id", "to").agg(F.min("text").alias("text"))
+    rows = base.select(part.alias("part"), F.lit(False).alias("follows"), "doc_id", "text").union(heads.select(F.col("to").alias("part"), F.lit(True), "doc_id", "text"))
     dealt = rows.repartition(len(firsts), "part").sortWithinPartitions("part", "follows", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
