@@ -1,11 +1,146 @@
-"""The registered queries of the filter language, with their DuckDB equivalents."""
+"""The registered queries of the filter language: program, table, and the equivalent DuckDB query.
+
+Each entry runs its program over its whole table through ``quern.api.run``.  A NATIVE entry must
+compile to DataFrame operators; a KERNEL entry is run by the row interpreter and gives JSON text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..api import run
+
+#: name: (mode, table, side tables, program, DuckDB query)
+NATIVE: dict[str, tuple] = {
+    "group_agg": (
+        "slurp", "orders", {},
+        "map(select(.o_totalprice > 100000)) | group_by(.o_orderpriority) | map({o_orderpriority: .[0].o_orderpriority, orders: length, spent: (map(.o_totalprice) | add | . * 100 | round | . / 100)})",
+        "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice) * 100) / 100 AS spent FROM orders WHERE o_totalprice > 100000 GROUP BY 1",
+    ),
+    "group_two_keys": (
+        "slurp", "lineitem", {},
+        "group_by(.l_returnflag, .l_linestatus) | map({l_returnflag: .[0].l_returnflag, l_linestatus: .[0].l_linestatus, n: length, qty: (map(.l_quantity) | add), avg_disc: ((map(.l_discount) | add) / length * 1e6 | round), disc: (map(.l_extendedprice * (1 - .l_discount)) | add | round)})",
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, round(sum(l_discount) / count(*) * 1e6) AS avg_disc, round(sum(l_extendedprice * (1 - l_discount))) AS disc FROM lineitem GROUP BY ALL",
+    ),
+    "filter_project": ("each", "customer", {}, "select(.c_acctbal > 5000 and .c_mktsegment != \"BUILDING\") | {c_custkey, c_name}", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'BUILDING'"),
+    "arithmetic": (
+        "each", "lineitem", {}, "{l_orderkey, l_linenumber, net: (.l_extendedprice * (1 - .l_discount) * 100 | floor), half: (.l_quantity / 2), odd: (.l_orderkey % 7), neg: (-.l_quantity + 1)}",
+        "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * 100) AS net, l_quantity / 2 AS half, (l_orderkey % 7)::DOUBLE AS odd, -l_quantity + 1 AS neg FROM lineitem",
+    ),
+    "running_foreach": (
+        "slurp", "events", {}, "group_by(.user_id)[] | foreach .[] as $e (0; . + ($e.value * 100 | round); {event_id: $e.event_id, running: .})",
+        "SELECT event_id, sum(round(value * 100)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events",
+    ),
+    "unique_by": ("slurp", "orders", {}, "unique_by(.o_custkey) | map({o_custkey, o_orderkey})", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1"),
+    "unique": ("slurp", "part", {}, "map(.p_brand) | unique | .[] | {brand: .}", "SELECT DISTINCT p_brand AS brand FROM part"),
+    "index_join": (
+        "slurp", "orders", {"c": "customer"}, "INDEX($c[]; .c_custkey) as $i | JOIN($i; .[]; .o_custkey | tostring; {o_orderkey: .[0].o_orderkey, c_name: .[1].c_name})",
+        "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    ),
+    "inner_join": (
+        "slurp", "supplier", {"n": "nation"}, ".[] as $s | $n[] as $n1 | select($s.s_nationkey == $n1.n_nationkey) | {s_name: $s.s_name, n_name: $n1.n_name}",
+        "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    ),
+    "in_semi": (
+        "slurp", "customer", {"o": "orders"}, "map(select(IN(.c_custkey; $o[] | select(.o_totalprice > 300000) | .o_custkey))) | map({c_custkey})",
+        "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "minus_anti": ("slurp", "customer", {"o": "orders"}, "map(select(IN(.c_custkey; $o[].o_custkey) | not)) | map({c_custkey})", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "top_k": ("slurp", "orders", {}, "sort_by(-.o_totalprice, .o_orderkey) | .[:10] | map({o_orderkey, o_totalprice})", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    "top_k_per_group": (
+        "slurp", "orders", {}, "group_by(.o_orderpriority)[] | sort_by(-.o_totalprice, .o_orderkey) | .[:3] | .[] | {o_orderpriority, o_orderkey}",
+        "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 3",
+    ),
+    "json_props": ("each", "events", {}, "{event_id, k: (.props | fromjson | .k | tonumber)}", "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k FROM events"),
+    "regex": (
+        "each", "part", {}, "select(.p_name | test(\"^[a-m]\")) | {p_partkey, b: (.p_brand | gsub(\"[0-9]+\"; \"#\"))}",
+        "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS b FROM part WHERE regexp_matches(p_name, '^[a-m]')",
+    ),
+    "dates": ("each", "orders", {}, "{o_orderkey, d: (.o_orderdate | todate), y: (.o_orderdate | gmtime | .[0]), s: .o_orderdate | strftime(\"%Y-%m\")}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS d, year(o_orderdate)::DOUBLE AS y, strftime(o_orderdate, '%Y-%m') AS s FROM orders"),
+    "explode_words": ("each", "part", {}, ".p_name | split(\" \") | .[] | {word: .}", "SELECT unnest(string_split(p_name, ' ')) AS word FROM part"),
+    "formats": (
+        "each", "part", {}, "{p_partkey, b: (.p_name | @base64), c: ([.p_partkey, .p_name, .p_brand] | @csv), h: (.p_type | @html), t: \"\\(.p_partkey)-\\(.p_brand)\"}",
+        "SELECT p_partkey, base64(encode(p_name)) AS b, p_partkey || ',\"' || p_name || '\",\"' || p_brand || '\"' AS c, p_type AS h, p_partkey || '-' || p_brand AS t FROM part",
+    ),
+    "min_max_by": (
+        "slurp", "orders", {}, "group_by(.o_orderstatus) | map({st: .[0].o_orderstatus, low: (min_by(.o_totalprice) | .o_orderkey), high: (max_by(.o_totalprice) | .o_orderkey), first: .[0].o_orderkey, dear: (map(.o_totalprice) | max)})",
+        "SELECT o_orderstatus AS st, arg_min(o_orderkey, o_totalprice) AS low, arg_max(o_orderkey, o_totalprice) AS high, min(o_orderkey) AS first, max(o_totalprice) AS dear FROM orders GROUP BY 1",
+    ),
+    "any_all": (
+        "slurp", "lineitem", {}, "group_by(.l_suppkey) | map({s: .[0].l_suppkey, big: any(.l_quantity >= 50), small: all(.l_quantity < 50), r: (map(select(.l_returnflag == \"R\")) | length), parts: (map(.l_partkey) | unique | length)})",
+        "SELECT l_suppkey AS s, bool_or(l_quantity >= 50) AS big, bool_and(l_quantity < 50) AS small, count(*) FILTER (l_returnflag = 'R') AS r, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1",
+    ),
+    "global_agg": ("slurp", "lineitem", {}, "{n: length, q: (map(.l_quantity) | add), most: (map(.l_extendedprice) | max), least: (map(.l_discount) | min)}", "SELECT count(*) AS n, sum(l_quantity) AS q, max(l_extendedprice) AS most, min(l_discount) AS least FROM lineitem"),
+    "reduce_keyed_sum": ("slurp", "lineitem", {}, "reduce .[] as $o ({}; .[$o.l_returnflag] += $o.l_quantity)", "SELECT l_returnflag AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1"),
+    "alternative_if": (
+        "each", "part", {}, "{p_partkey, band: (if .p_size < 10 then \"s\" elif .p_size < 30 then \"m\" else \"l\" end), x: (.missing // .p_brand), y: (if .p_size == 1 then null else .p_size end // -1)}",
+        "SELECT p_partkey, CASE WHEN p_size < 10 THEN 's' WHEN p_size < 30 THEN 'm' ELSE 'l' END AS band, p_brand AS x, CASE WHEN p_size = 1 THEN -1 ELSE p_size END::DOUBLE AS y FROM part",
+    ),
+    "assignment": (
+        "each", "nation", {}, ".n_name |= ascii_downcase | .n_regionkey += 1 | .twice = .n_nationkey * 2 | del(.n_nationkey)",
+        "SELECT lower(n_name) AS n_name, (n_regionkey + 1)::DOUBLE AS n_regionkey, (n_nationkey * 2)::DOUBLE AS twice FROM nation",
+    ),
+    "strings": (
+        "each", "customer", {}, "{c_custkey, up: (.c_mktsegment | ascii_upcase), n: (.c_name | length), cut: .c_name[:8], tail: .c_name[-3:], c: (.c_name | ltrimstr(\"Customer\")), s: (.c_name | startswith(\"Customer#0\")), i: (.c_name | index(\"#\"))}",
+        "SELECT c_custkey, upper(c_mktsegment) AS up, length(c_name) AS n, substr(c_name, 1, 8) AS cut, right(c_name, 3) AS tail, CASE WHEN starts_with(c_name, 'Customer') THEN substr(c_name, 9) ELSE c_name END AS c, starts_with(c_name, 'Customer#0') AS s, nullif(instr(c_name, '#') - 1, -1)::DOUBLE AS i FROM customer",
+    ),
+    "math": (
+        "each", "part", {}, "{p_partkey, r: (.p_retailprice | sqrt | . * 1e6 | round), l: (.p_retailprice | log10 | . * 1e6 | round), p: (pow(.p_size; 2)), c: (.p_retailprice | ceil)}",
+        "SELECT p_partkey, round(sqrt(p_retailprice) * 1e6) AS r, round(log10(p_retailprice) * 1e6) AS l, pow(p_size, 2)::DOUBLE AS p, ceil(p_retailprice)::DOUBLE AS c FROM part",
+    ),
+    "array_ops": (
+        "each", "embeddings", {}, "{vec_id, n: (.embedding | length), first: .embedding[0], pos: (.embedding | map(select(. > 0)) | length), back: .embedding[-1]}",
+        "SELECT vec_id, len(embedding) AS n, embedding[1] AS first, len(list_filter(embedding, lambda x: x > 0)) AS pos, embedding[-1] AS back FROM embeddings",
+    ),
+    "sort_all": ("slurp", "nation", {}, "sort_by(.n_regionkey, .n_name) | map({n_name, n_regionkey})", "SELECT n_name, n_regionkey FROM nation"),
+    "pick_del": ("each", "region", {}, "pick(.r_name) + {k: .r_regionkey}", "SELECT r_name, r_regionkey AS k FROM region"),
+    "distinct_agg": ("slurp", "events", {}, "group_by(.event_type) | map({t: .[0].event_type, users: (map(.user_id) | unique | length), top: (map(.value) | max), low: (map(.value) | min)})", "SELECT event_type AS t, count(DISTINCT user_id) AS users, max(value) AS top, min(value) AS low FROM events GROUP BY 1"),
+}
+
+#: name: (mode, table, program, DuckDB query of the JSON text or None)
+KERNEL: dict[str, tuple] = {
+    "kernel_walk": ("each", "region", "walk(if type == \"string\" then ascii_downcase else . end) | tojson", "SELECT '\"{\\\"r_regionkey\\\":' || r_regionkey || ',\\\"r_name\\\":\\\"' || lower(r_name) || '\\\"}\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_tostream": ("each", "nation", "tostream", None),
+    "kernel_paths": ("each", "nation", "[paths]", "SELECT '[[\"n_nationkey\"],[\"n_name\"],[\"n_regionkey\"]]' AS value, NULL::VARCHAR AS error FROM nation"),
+    "kernel_recursion": ("each", "region", "def fac: if . <= 1 then 1 else . * (. - 1 | fac) end; .r_regionkey | fac", "SELECT CASE r_regionkey WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN 4 THEN 24 ELSE 1 END::VARCHAR AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_combinations": ("slurp", "region", "[map(.r_regionkey), [1, 2]] | combinations | add", "SELECT (r_regionkey + x)::VARCHAR AS value, NULL::VARCHAR AS error FROM region, (VALUES (1), (2)) t(x)"),
+    "kernel_match": ("each", "part", ".p_type | [match(\"[A-Z]+\"; \"g\").length] | length", "SELECT len(regexp_extract_all(p_type, '[A-Z]+'))::VARCHAR AS value, NULL::VARCHAR AS error FROM part"),
+    "kernel_errors": ("each", "nation", ".n_nationkey, (.n_name | error)", "SELECT n_nationkey::VARCHAR AS value, NULL::VARCHAR AS error FROM nation UNION ALL SELECT NULL, n_name FROM nation"),
+    "kernel_inputs": ("null", "nation", "reduce inputs as $r (0; . + $r.n_nationkey)", "SELECT sum(n_nationkey)::VARCHAR AS value, NULL::VARCHAR AS error FROM nation"),
+    "kernel_transpose": ("slurp", "region", "map([.r_regionkey, .r_name]) | transpose | .[0] | add", "SELECT sum(r_regionkey)::VARCHAR AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_entries": ("each", "events", ".props | fromjson | to_entries | map(.key) | join(\",\")", "SELECT '\"k\"' AS value, NULL::VARCHAR AS error FROM events"),
+    "kernel_label": ("each", "part", "label $out | foreach range(1; 100) as $i (0; . + $i; if . > 10 then ., break $out else empty end)", "SELECT '15' AS value, NULL::VARCHAR AS error FROM part"),
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _native(entry: tuple) -> Callable[[SparkSession, str], DataFrame]:
+    mode, name, side, program, _ = entry
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, table(spark, sf_dir, name), program, mode, tables={k: table(spark, sf_dir, t) for k, t in side.items()}, native=True)
+
+    return query
+
+
+def _kernel(entry: tuple) -> Callable[[SparkSession, str], DataFrame]:
+    mode, name, program, _ = entry
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, table(spark, sf_dir, name), program, mode, native=False).select("value", F.col("error"))
+
+    return query
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _native(e) for k, e in NATIVE.items()} | {k: _kernel(e) for k, e in KERNEL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: e[-1] for k, e in (NATIVE | KERNEL).items() if e[-1]}
