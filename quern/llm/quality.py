@@ -7,6 +7,7 @@ whose weight isn't zero are compiled into one Spark column expression.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import and_
 
@@ -217,12 +218,24 @@ def compiled(model: tuple[list[tuple], np.ndarray, float], stats: str = "stats")
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[tuple], np.ndarray, float]:
-    """Fit on the statistics of at most ``most`` labelled documents, which come to the driver as numbers only.
+    """Fit in one task on the statistics of at most ``most`` labelled documents; only the rules come to the driver.
 
     Without labelled documents every score is one half.
     """
-    sample = training_texts(docs, labels, "quality", most)
-    got = with_statistics(sample, ["doc_id", "y"]).select("doc_id", "y", "stats.*").toPandas().sort_values(["doc_id", *NAMES])
-    if got.empty:
+    sample = with_statistics(training_texts(docs, labels, "quality", most), ["doc_id", "y"]).select("doc_id", "y", "stats.*")
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            x = np.column_stack([table[k].to_numpy() for k in NAMES])
+            ids, y = table["doc_id"].to_numpy(), table["y"].to_numpy().astype(float)
+            order = np.lexsort((*x.T[::-1], ids))  # whatever order the rows came in
+            rules, weights, intercept = fit(x[order], y[order])
+            yield pa.RecordBatch.from_pydict({"model": [json.dumps([rules, weights.tolist(), intercept])]})
+
+    found = [json.loads(r["model"]) for r in sample.repartition(1).mapInArrow(run, "model string").collect()]
+    if not found:
         return [], np.zeros(0), 0.0
-    return fit(got[NAMES].to_numpy(float), got["y"].to_numpy(float))
+    rules, weights, intercept = found[0]
+    return [tuple(tuple(c) for c in r) for r in rules], np.array(weights), intercept
