@@ -93,7 +93,7 @@ def calibrate(ratio: np.ndarray, tokens: np.ndarray, budget: float) -> float:
 
 def _rake_table(cells: DataFrame, total: float, exponents: dict) -> DataFrame:
     """rake() for a table of cells too large for the driver; each step's sums are by one key."""
-    now = cells.withColumn("w", F.col("tokens").cast("double"))
+    now, own = cells.withColumn("w", F.col("tokens").cast("double")), False
     goals = {}
     for c in DIMENSIONS:
         share = cells.groupBy(c).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("e", F.pow(F.col("t") / total, F.lit(exponents[c])))
@@ -106,8 +106,9 @@ def _rake_table(cells: DataFrame, total: float, exponents: dict) -> DataFrame:
             steps = stored(goals[c].join(sums, F.col("k").eqNullSafe(F.col("k2"))).select("k", F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(1.0).alias("step")), "steps")
             off = max(off, steps.agg(F.coalesce(F.max(F.abs(F.col("step") - 1)), F.lit(0.0))).first()[0])
             last, now = now, stored(now.join(steps, now[c].eqNullSafe(steps.k), "left").select(*DIMENSIONS, "tokens", (F.col("w") * F.coalesce("step", F.lit(1.0))).alias("w")), "cells")
-            if last is not cells:
+            if own:
                 discard(last)
+            own = True
         if off < TOLERANCE:
             break
     return now

@@ -177,13 +177,14 @@ def near_pairs(reps: DataFrame, bits: int = 4) -> DataFrame:
 def near_groups(docs: DataFrame, bits: int = 4, size: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): documents linked directly or by others whose fingerprints differ in at most ``bits`` places.
 
-    Null ids keep their row and never name a component; equal ids share their rows'
-    links; other columns of docs are ignored; an empty table gives no rows.
+    Rows of null ids link nothing; they have the component of the rows with their own
+    fingerprint, or null.  Equal ids share their rows' links; other columns of docs are
+    ignored; an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, size), "fingerprints")
-    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = stored(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     same_id = fps.groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("n")).where("one <> n AND doc_id IS NOT NULL").select("doc_id")
     own = fps.join(same_id, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(near_pairs(reps, bits).union(own))
     of = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
