@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.columns import BOOLEAN, DOUBLE, LONG, Row, Scope, Unsupported, Value, constant, pieces, row_of, scalar, struct, truthy
+from ..plans.columns import BOOLEAN, DOUBLE, LONG, Row, Scope, Unsupported, Value, condition, constant, pieces, row_of, scalar, struct, truthy
 
 ORD = "__ord"
 
@@ -93,8 +93,8 @@ def run_bag(node, bag: Bag, tables: dict) -> DataFrame:
         elif s in (("each", ("id",)), ("id",)) and not apart:
             apart = apart or s[0] == "each"
         elif apart and s[0] != "as":
-            condition, out = pieces(piped(stages[at:]), Scope(state.row()))
-            state = state.project(out, condition)
+            kept, out = pieces(piped(stages[at:]), Scope(state.row()))
+            state = state.project(out, kept)
             at = len(stages)
         elif s[0] == "each":  # group_by(f)[] and the like
             stages[at : at + 1] = [*flat(s[1]), ("each", ("id",))]
@@ -104,8 +104,8 @@ def run_bag(node, bag: Bag, tables: dict) -> DataFrame:
         elif is_call(s, "map", 1) and (member := membership(s[2][0])):
             state = semi(state, tables, *member)
         elif is_call(s, "map", 1):
-            condition, out = pieces(s[2][0], Scope(state.row()))
-            state = state.project(out, condition)
+            kept, out = pieces(s[2][0], Scope(state.row()))
+            state = state.project(out, kept)
         elif is_call(s, "group_by", 1):
             state = Groups(state, listed(s[2][0]))
         elif is_call(s, "sort_by", 1):
@@ -125,11 +125,11 @@ def run_bag(node, bag: Bag, tables: dict) -> DataFrame:
         elif s[0] in ("call", "object") or (s[0] == "pipe"):
             if s[0] == "call" and s[1] in ("add", "length", "min", "max", "any", "all"):
                 return whole(piped(stages[at:]), state)
-            condition, out = pieces(s, Scope(state.row()))
-            state = state.project(out, condition)
+            kept, out = pieces(s, Scope(state.row()))
+            state = state.project(out, kept)
         else:
-            condition, out = pieces(s, Scope(state.row()))
-            state = state.project(out, condition)
+            kept, out = pieces(s, Scope(state.row()))
+            state = state.project(out, kept)
         at += 1
     if isinstance(state, Groups):
         raise Unsupported("groups as values")
@@ -201,26 +201,26 @@ class Aggregates:
         return None
 
     def folded(self, stages: list, row: Scope):
-        condition, v = pieces(stages[0][2][0], row)
+        kept, v = pieces(stages[0][2][0], row)
         rest = [s[1] if s[0] == "call" and not s[2] else None for s in stages[1:]]
         if rest == ["length"]:
-            return Value(F.count(F.lit(1)) if condition is None else F.count_if(condition), LONG)
+            return Value(F.count(F.lit(1)) if kept is None else F.count_if(kept), LONG)
         v = struct(v)
-        col = v.col if condition is None else F.when(condition, v.col)
+        col = v.col if kept is None else F.when(kept, v.col)
         if rest == ["add"] and isinstance(v.type, T.NumericType):
             return Value(F.sum(col.cast("double")), DOUBLE)
         if rest == ["max"]:
             return Value(F.max(col), v.type)
         if rest == ["min"]:  # null is the least value
             least = F.min(col)
-            nulls = F.bool_or(v.col.isNull() & (F.lit(True) if condition is None else condition))
+            nulls = F.bool_or(v.col.isNull() & (F.lit(True) if kept is None else kept))
             return Value(F.when(F.coalesce(nulls, F.lit(False)), None).otherwise(least), v.type)
         if rest == ["unique", "length"]:
-            nulls = F.max(F.when(v.col.isNull() & (F.lit(True) if condition is None else condition), 1).otherwise(0))
+            nulls = F.max(F.when(v.col.isNull() & (F.lit(True) if kept is None else kept), 1).otherwise(0))
             return Value((F.count_distinct(col) + F.coalesce(nulls, F.lit(0))).cast("long"), LONG)
         if rest in (["any"], ["all"]):
             c = truthy(v)
-            c = c if condition is None else F.when(condition, c)
+            c = c if kept is None else F.when(kept, c)
             return Value(F.coalesce(F.bool_or(c), F.lit(False)) if rest == ["any"] else F.coalesce(F.bool_and(c), F.lit(True)), BOOLEAN)
         raise Unsupported("fold")
 
@@ -243,8 +243,8 @@ def aggregate(groups: Groups, f) -> Bag:
         name = f"__k{i}"
         by.append(v.col.alias(name))
         if k[0] == "index" and k[1] == ("id",):
-            keys[constant(k[2])] = Value(F.first(v.col), v.type)
-    reader = Aggregates(groups.bag, {n: Value(v.col, v.type) for n, v in keys.items()})
+            keys[constant(k[2])] = v
+    reader = Aggregates(groups.bag, keys)
     out = scalar(f, Scope(None, bag=reader))
     bag = groups.bag.with_order() if reader.needs_order else groups.bag
     if isinstance(out, Row):
@@ -293,8 +293,8 @@ def in_groups(groups: Groups, stages: list) -> Bag:
         out = Bag(kept, bag.single)
         rest = [x for x in stages[2:] if x != ("each", ("id",))]
         if rest:
-            condition, v = pieces(piped(rest), Scope(out.row()))
-            out = out.project(v, condition)
+            kept, v = pieces(piped(rest), Scope(out.row()))
+            out = out.project(v, kept)
         return out
     raise Unsupported("filters inside groups")
 
@@ -328,8 +328,8 @@ def semi(bag: Bag, tables: dict, key, table: str, f, wanted: bool) -> Bag:
     """A left semi join, or a left anti join; null equals null."""
     if table not in tables:
         raise Unsupported(f"${table}")
-    condition, v = pieces(f, Scope(row_of(tables[table].schema)))
-    other = tables[table] if condition is None else tables[table].where(condition)
+    kept, v = pieces(f, Scope(row_of(tables[table].schema)))
+    other = tables[table] if kept is None else tables[table].where(kept)
     other = other.select(struct(v).col.alias("__in"))
     mine = struct(scalar(key, Scope(bag.row())))
     return Bag(bag.df.join(other, mine.col.eqNullSafe(F.col("__in")), "left_semi" if wanted else "left_anti"), bag.single, bag.sorted_by)
@@ -369,7 +369,7 @@ def joined(node, bag: Bag, tables: dict) -> DataFrame:
         if not is_call(stages[0], "select", 1) or len(stages) < 2:
             raise Unsupported("join")
         scope = Scope(None, {name: mine, body[2][0][1]: other})
-        on = truthy(scalar(stages[0][2][0], scope))
+        on = condition(scalar(stages[0][2][0], scope))
         return Bag(bag.df.join(r, on)).project(scalar(piped(stages[1:]), scope)).result()
     raise Unsupported("as")
 

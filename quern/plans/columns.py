@@ -21,8 +21,13 @@ class Unsupported(Exception):
 
 @dataclass
 class Value:
+    """A typed column; test: a plainer form that is true for the same rows and else false or null, for filters; constant: it is a literal."""
+
     col: Column
     type: T.DataType
+    test: Column | None = None
+    constant: bool = False
+    number: float | None = None
 
 
 @dataclass
@@ -89,6 +94,11 @@ def truthy(v) -> Column:
     return F.coalesce(v.col, F.lit(False)) if isinstance(v.type, T.BooleanType) else v.col.isNotNull()
 
 
+def condition(v) -> Column:
+    """truthy() where null counts as false: a form that Spark can push into a scan."""
+    return v.test if isinstance(v, Value) and v.test is not None else truthy(v)
+
+
 def struct(v) -> Value:
     """A row as one column."""
     if isinstance(v, Value):
@@ -99,6 +109,13 @@ def struct(v) -> Value:
     return Value(F.struct(*(x.col.alias(k) for k, x in inner.items())), T.StructType([T.StructField(k, x.type) for k, x in inner.items()]))
 
 
+def _whole(v: Value, other: Value) -> Value:
+    """A whole literal as an integer where it meets one, so that the column isn't cast."""
+    if v.constant and is_num(v) and isinstance(other.type, T.IntegralType) and (x := v.number) is not None and x == int(x) and abs(x) < 2**31:
+        return Value(F.lit(int(x)), T.IntegerType(), constant=True)
+    return v
+
+
 def compared(op: str, a, b) -> Value:
     a, b = struct(a), struct(b)
     if is_time(a) or is_time(b):
@@ -106,6 +123,7 @@ def compared(op: str, a, b) -> Value:
     same = is_null(a) or is_null(b) or (is_num(a) and is_num(b)) or type(a.type) is type(b.type)
     if not same or isinstance(a.type, (T.StructType, T.ArrayType, T.MapType)):
         raise Unsupported("compared kinds")
+    a, b = _whole(a, b), _whole(b, a)
     x, y = a.col, b.col
     floats = any(isinstance(v.type, (T.DoubleType, T.FloatType)) for v in (a, b))
     nan_x = F.coalesce(F.isnan(x), F.lit(False)) if isinstance(a.type, (T.DoubleType, T.FloatType)) else F.lit(False)
@@ -123,7 +141,23 @@ def compared(op: str, a, b) -> Value:
         "==": equal, "!=": lambda: ~equal(), "<": lambda: below(x, y, nan_x, nan_y), ">": lambda: below(y, x, nan_y, nan_x),
         "<=": lambda: ~below(y, x, nan_y, nan_x), ">=": lambda: ~below(x, y, nan_x, nan_y),
     }[op]()
-    return Value(found, BOOLEAN)
+    return Value(found, BOOLEAN, _plain_test(op, a, b))
+
+
+def _plain_test(op: str, a: Value, b: Value) -> Column | None:
+    """The comparison with a literal as scans know it."""
+    if a.constant and not b.constant:
+        a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+    if a.constant or not b.constant or is_null(b):
+        return None
+    x, y = a.col, b.col
+    floats = isinstance(a.type, (T.DoubleType, T.FloatType))
+    if op in (">", ">="):
+        test = x > y if op == ">" else x >= y
+        return test & ~F.isnan(x) if floats else test
+    if op in ("==", "!="):
+        return x == y if op == "==" else None
+    return None if floats else x.isNull() | (x < y if op == "<" else x <= y)
 
 
 def arithmetic(op: str, a, b) -> Value:
@@ -236,11 +270,11 @@ def _literal(node, scope):
     if x is None:
         return Value(F.lit(None), T.NullType())
     if isinstance(x, bool):
-        return Value(F.lit(x), BOOLEAN)
+        return Value(F.lit(x), BOOLEAN, constant=True)
     if isinstance(x, str):
-        return Value(F.lit(x), STRING)
+        return Value(F.lit(x), STRING, constant=True)
     if isinstance(x, (float, int)):
-        return Value(F.lit(float(x)), DOUBLE)
+        return Value(F.lit(float(x)), DOUBLE, constant=x == x, number=float(x) if abs(x) < 2**53 else None)
     raise Unsupported("container literal")
 
 
@@ -388,7 +422,7 @@ def _array_filter(f, scope, kind):
 def pieces(node, scope):
     """(condition or None, output) of a filter made of selects and one-output filters."""
     if node[0] == "call" and node[1] == "select" and len(node[2]) == 1:
-        return truthy(scalar(node[2][0], scope)), _dot(scope)
+        return condition(scalar(node[2][0], scope)), _dot(scope)
     if node[0] == "call" and node[1] == "empty":
         raise Unsupported("empty")
     if node[0] == "pipe":
@@ -585,8 +619,12 @@ def _binary(node, scope):
     return compared(node[1], a, b) if node[1] in ("==", "!=", "<", "<=", ">", ">=") else arithmetic(node[1], a, b)
 
 
+def _logic(a, b, join) -> Value:
+    return Value(join(truthy(a), truthy(b)), BOOLEAN, join(condition(a), condition(b)))
+
+
 RULES = {
     "id": lambda n, s: _dot(s), "literal": _literal, "var": _var, "index": _index, "slice": _slice, "pipe": _pipe, "binary": _binary, "alt": _alt, "if": _if, "object": _object,
     "negate": lambda n, s: Value(-num(scalar(n[1], s)), DOUBLE), "as": _as, "join": _join, "assign": _assign, "array": _array, "format": _format, "call": _call,
-    "and": lambda n, s: Value(truthy(scalar(n[1], s)) & truthy(scalar(n[2], s)), BOOLEAN), "or": lambda n, s: Value(truthy(scalar(n[1], s)) | truthy(scalar(n[2], s)), BOOLEAN),
+    "and": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a & b), "or": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a | b),
 }
