@@ -158,7 +158,7 @@ def chances(rows: DataFrame, budget: float = BUDGET, exponents: dict = FLATTEN,
             flat = share ** exponents[c]
             keys.append(key)
             targets.append(flat / flat.sum() * tokens.sum())
-        weight[some] = rake(keys, tokens[some], targets) / tokens[some]
+        weight[some] = rake(keys, tokens[some], targets, ROUNDS, TOLERANCE) / tokens[some]
         factor = calibrate(weight[some], tokens[some], budget * tokens.sum())
         chance[some] = np.minimum(1.0, weight[some] * min(factor, 1e300))
     schema = rows.select(*DIMENSIONS).schema.add("weight", "double").add("probability", "double")

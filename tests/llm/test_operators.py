@@ -126,14 +126,14 @@ def test_rake_meets_marginals():
 
 
 def test_raking_as_tables_agrees(spark, docs, monkeypatch):
-    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-9)
     monkeypatch.setattr(mixing, "ROUNDS", 6)
     tokens = mixing.with_topics(docs, ["source", "lang"])
     small, _ = mixing.chances(tokens)
     large, _ = mixing.chances(tokens, driver_cells=0)
     a, b = ({(r["source"], r["lang"], r["topic"]): r for r in x.collect()} for x in (small, large))
     assert a.keys() == b.keys()
-    assert all(abs(a[k]["probability"] - b[k]["probability"]) < 0.02 for k in a)
+    assert all(abs(a[k]["probability"] - b[k]["probability"]) < 1e-6 for k in a)
 
 
 def test_licenses(spark, sf_dir):
