@@ -3,39 +3,35 @@
 from __future__ import annotations
 
 import datetime
+import functools
+import itertools
+import os
 from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import kernel, values
-from .functions.reader import Reader, events
-from .functions.values import FilterError
+from .functions import kernel
+from .functions.reader import events
 from .operators.bags import Bag, flat, piped, run_bag
 from .plans.columns import Scope, Unsupported, Value, pieces
 from .plans.parse import parse
+from .sources.records import Job, calls, evaluate, read
 from .sources.ship import ship
 
-RESULT = "value string, error string"
-
-
-def read(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """A Parquet path as a table; any other as records of text: a line each, for raw or NDJSON input."""
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    return spark.read.option("lineSep", "\n").text(path)
+RESULT = "value string, error string, note string"
 
 
 def run(
-    spark: SparkSession, source, program: str, mode: str = "each", args: dict | None = None, tables: dict | None = None, raw: bool = False, stream: bool = False, whole_text: bool = False, native: bool | None = None, filename: str | None = None
+    spark: SparkSession, source, program: str, mode: str = "each", args: dict | None = None, tables: dict | None = None, raw: bool = False, stream: bool = False, whole_text: bool = False, native: bool | None = None, filename: str | None = None, positional: list | None = None
 ) -> DataFrame:
     """The program's outputs as rows.
 
-    source: a DataFrame, a Parquet path or a path of JSON text (a record a line; with
+    source: a DataFrame, a Parquet path, or a path or list of paths of JSON text (a record a line; with
     whole_text, any number of values of any layout a file).  mode: "each" record, "slurp" (all as
     one array) or "null".  args: values of variables; tables: DataFrames that variables
-    stand for, as arrays of their rows.  raw: lines are strings.  stream: records are events.
+    stand for, as arrays of their rows; positional: $ARGS.positional.  raw: lines are strings.  stream: records are events.
 
     Over typed tables the program is compiled to DataFrame operators, and the outputs are
     typed columns (one column ``value`` unless an output is an object).  Where it can't be, or
@@ -43,17 +39,20 @@ def run(
     ``error`` for a record whose evaluation failed, after the outputs it had.  A slurped program
     that can't be compiled sees all rows in one task, as its meaning demands.
     """
-    df = read(spark, source, raw) if isinstance(source, str) else source
+    df = source
+    if isinstance(source, str):
+        df = spark.read.parquet(source) if source.rstrip("/").endswith(".parquet") else [source]
     tables, args = tables or {}, args or {}
     tree = parse(program, kernel.known(), [*args, *tables])
-    text = df is not None and df.columns == ["value"] and dict(df.dtypes)["value"] == "string" and isinstance(source, str)
-    if native is not False and not (text or stream or raw or args or mode == "null"):
+    if native is not False and not (stream or raw or args or mode == "null") and isinstance(df, DataFrame):
         try:
             return compile_each(tree, df) if mode == "each" else run_bag(tree, Bag(df), tables)
         except Unsupported:
             if native:
                 raise
-    return interpret(spark, df, tree, mode, args, tables, text, raw, stream, whole_text and isinstance(source, str) and source, filename)
+    held = {k: [plain(r.asDict(recursive=True)) for r in t.collect()] for k, t in tables.items()}  # side inputs that a program reads whole
+    job = Job(tree, mode, args, positional or [], held, raw, stream, environment=dict(os.environ) if calls(tree, {"env", "ENV"}) else {})
+    return interpret(spark, job, df, whole_text, filename).select("value", "error")
 
 
 def compile_each(tree, df: DataFrame) -> DataFrame:
@@ -95,90 +94,50 @@ def plain(x):
     raise TypeError(f"columns of {type(x).__name__} aren't JSON values")
 
 
-def outputs(tree, shared: kernel.Run, args: dict, v) -> list[tuple]:
-    """(value, error) rows of one evaluation: what came before an error stays."""
-    out = []
-    try:
-        for x in kernel.values(tree, shared.env().bind(args), v):
-            out.append((values.dumps(x), None))
-    except FilterError as e:
-        out.append((None, e.value if isinstance(e.value, str) else f"(not a string): {values.dumps(e.value)}"))
-    except kernel.Break:
-        out.append((None, "break"))
-    except kernel.Halt as h:
-        out.append((None, f"halt {h.code}: {h.value if isinstance(h.value, str) else values.dumps(h.value)}"))
-    except RecursionError:
-        out.append((None, "the program nests too deeply"))
-    return out
+def _batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["value", "error", "note"])
+
 
+def _batches(rows, size: int = 1000):
+    while held := list(itertools.islice(rows, size)):
+        yield _batch(held)
+
+
+def texts(spark: SparkSession, paths: list[str], whole: bool) -> DataFrame:
+    """The files' texts, whole or a line each, in the order given: value and file.
+
+    Without files, one partition without rows, where a program of null input still runs once.
+    """
+    if not paths:
+        return spark.range(0, 1, 1, 1).where("id < 0").select(F.lit("").alias("value"), F.lit("").alias("file"))
+    frames = [(spark.read.text(p, wholetext=True) if whole else spark.read.option("lineSep", "\n").text(p)).select("value", F.lit(p).alias("file")) for p in paths]
+    return functools.reduce(DataFrame.unionAll, frames)
 
-def _batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["value", "error"])
 
+def interpret(spark: SparkSession, job: Job, source, whole: bool = False, filename: str | None = None) -> DataFrame:
+    """The job's rows (value, error, note) over a table, or over the texts of a list of paths.
 
-def interpret(spark, df, tree, mode, args, tables, text, raw, stream, whole, filename) -> DataFrame:
+    A program that reads further inputs, or all of them, sees the records in order in one task.
+    """
     ship(spark)
-    held = {k: [plain(r.asDict(recursive=True)) for r in t.collect()] for k, t in tables.items()}  # side inputs that a program reads whole
-    bound = {**args, **held}
-    if mode == "null" and df is None:
-        return spark.createDataFrame(outputs(tree, kernel.Run(), bound, None) or [], RESULT)
-    if whole:
-        df = spark.read.text(whole, wholetext=True)
-
-    def records(batches):
-        """(value, error) of each record."""
+    text = source is None or isinstance(source, list)
+    whole = whole or (job.raw and job.mode == "slurp")
+    df = texts(spark, source or [], whole) if text else source
+
+    def parts(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                if not text:
-                    yield plain(row), None
-                elif raw:
-                    yield row["value"], None
-                else:
-                    reader = Reader(row["value"])
-                    try:
-                        for v in reader.values():
-                            yield v, None
-                    except FilterError as e:
-                        yield None, e.value
-
-    def found(batches):
-        for v, error in records(batches):
-            if error is not None or not stream:
-                yield v, error
-            else:
-                yield from ((e, None) for e in events(v))
-
-    def each(batches):
-        rows = []
-        for v, error in found(batches):
-            rows += [(None, error)] if error is not None else outputs(tree, kernel.Run(filename=filename), bound, v)
-            if len(rows) >= 1000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    def together(batches):
-        pending = found(batches)
-        if mode == "slurp":
-            every = []
-            for v, error in pending:
-                if error is not None:
-                    yield _batch([(None, error)])
-                    return
-                every.append(v)
-            yield _batch(outputs(tree, kernel.Run(filename=filename), bound, every))
-            return
-
-        def inputs():
-            for v, error in pending:
-                if error is not None:
-                    raise FilterError(error)
-                yield v
-
-        yield _batch(outputs(tree, kernel.Run(inputs(), filename=filename), bound, None))
-
-    if mode == "each":
-        return df.mapInArrow(each, RESULT)
-    ordered = df.coalesce(1)  # the program reads all records in order
-    return ordered.mapInArrow(together, RESULT)
+            yield from zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)
+
+    def rows(batches):
+        def feed(run):
+            if text:
+                return read(((f, t if whole or job.raw else t + "\n") for f, t in parts(batches)), job, run)
+            run.filename = filename
+            found = (plain(row) for batch in batches for row in batch.to_pylist())
+            return ((x, None) for v in found for x in (events(v) if job.stream else [v]))
+
+        yield from _batches(evaluate(job, feed, (lambda: (t for _, t in parts(batches))) if text else None))
+
+    if job.mode != "each" or calls(job.tree, {"input", "inputs"}):
+        df = df.coalesce(1)
+    return df.mapInArrow(rows, RESULT)

@@ -113,6 +113,16 @@ class Reader:
                 self.at -= 1
                 self.fail("Expected separator between values" if c else "Unfinished JSON term")
 
+    def key(self) -> str:
+        """A key and its colon."""
+        if self.skip() != '"':
+            self.fail("Object keys must be strings")
+        key = self.string()
+        if self.skip() != ":":
+            self.fail("Objects must consist of key:value pairs")
+        self.at += 1
+        return key
+
     def object(self, depth: int) -> dict:
         self.at += 1
         out: dict = {}
@@ -120,12 +130,7 @@ class Reader:
             self.at += 1
             return out
         while True:
-            if self.skip() != '"':
-                self.fail("Object keys must be strings")
-            key = self.string()
-            if self.skip() != ":":
-                self.fail("Objects must consist of key:value pairs")
-            self.at += 1
+            key = self.key()
             out[key] = self.value(depth + 1)
             c = self.skip()
             self.at += 1
@@ -135,6 +140,38 @@ class Reader:
                 self.at -= 1
                 self.fail("Expected separator between values" if c else "Unfinished JSON term")
 
+    def events(self) -> Iterator[list]:
+        """The [path, leaf] and closing [path] events of all values, those before an error too."""
+        while self.skip():
+            yield from self.walk([], 0)
+
+    def walk(self, path: list, depth: int) -> Iterator[list]:
+        opening = self.skip()
+        if opening not in ("[", "{"):
+            yield [path, self.value(depth)]
+            return
+        if depth > DEEPEST:
+            self.fail("Exceeds depth limit for parsing")
+        ending = "]" if opening == "[" else "}"
+        self.at += 1
+        if self.skip() == ending:
+            self.at += 1
+            yield [path, [] if ending == "]" else {}]
+            return
+        place = 0
+        while True:
+            here = [*path, float(place) if ending == "]" else self.key()]
+            yield from self.walk(here, depth + 1)
+            c = self.skip()
+            if c == ending:
+                self.at += 1
+                yield [here]
+                return
+            if c != ",":
+                self.fail("Expected separator between values" if c else "Unfinished JSON term")
+            self.at += 1
+            place += 1
+
 
 def read_one(text: str):
     """Exactly one value."""
@@ -151,14 +188,14 @@ def read_one(text: str):
 def events(value) -> Iterator[list]:
     """The [path, leaf] and closing [path] events of a value."""
 
-    def walk(path, v, top):
-        if isinstance(v, (list, dict)) and v:
-            k = None
-            for k, x in enumerate(v) if isinstance(v, list) else v.items():
-                k = float(k) if isinstance(v, list) else k
-                yield from walk([*path, k], x, False)
-            yield [[*path, k]]
-        else:
+    def walk(path, v):
+        if not isinstance(v, (list, dict)) or not v:
             yield [path, v]
-
-    return walk([], value, True)
+            return
+        last = None
+        for k, x in enumerate(v) if isinstance(v, list) else v.items():
+            last = [*path, float(k) if isinstance(v, list) else k]
+            yield from walk(last, x)
+        yield [last]
+
+    return walk([], value)
