@@ -16,6 +16,7 @@ from .functions import kernel
 from .functions.reader import events
 from .operators.bags import Bag, flat, piped, run_bag
 from .plans.columns import Scope, Unsupported, Value, pieces
+from .plans.needs import needed
 from .plans.parse import parse
 from .sources.records import Job, calls, evaluate, read
 from .sources.ship import ship
@@ -123,6 +124,8 @@ def interpret(spark: SparkSession, job: Job, source, whole: bool = False, filena
     text = source is None or isinstance(source, list)
     whole = whole or (job.raw and job.mode == "slurp")
     df = texts(spark, source or [], whole) if text else source
+    if not text and job.mode == "each" and not job.stream and (fields := needed(job.tree)) is not None:
+        df = df.select(*([F.col(f"`{c}`") for c in df.columns if c in fields] or [F.lit(True).alias("row")]))
 
     def parts(batches):
         for batch in batches:
