@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from .values import FilterError, number
 
 SPACE = re.compile(r"[ \t\r\n﻿]*")
-NUMBER = re.compile(r"-?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
+NUMBER = re.compile(r"-?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?", re.A)
 PLAIN_RUN = re.compile(r'[^"\\]*')
 WORDS = {"null": None, "true": True, "false": False, "nan": math.nan, "NaN": math.nan, "-nan": math.nan, "-NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
 WORD = re.compile(r"-?[A-Za-z]+")

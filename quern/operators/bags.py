@@ -114,12 +114,15 @@ def run_bag(node, bag: Bag, tables: dict) -> DataFrame:
             state = Bag(state.df, True, ordering(state, [("id",)]))
         elif is_call(s, "reverse", 0) and state.sorted_by:
             raise Unsupported("reverse")
-        elif s[0] == "slice" and s[1] == ("id",) and s[2] is None and s[3] is not None and constant(s[3]) >= 0:
-            state = Bag(state.df.orderBy(*state.sorted_by).limit(int(constant(s[3]))) if state.sorted_by else state.df.limit(int(constant(s[3]))), state.single)
+        elif s[0] == "slice" and s[1] == ("id",) and s[3] is not None and (skipped := int(constant(s[2])) if s[2] else 0) >= 0 and constant(s[3]) >= 0:
+            rows = state.df.orderBy(*state.sorted_by) if state.sorted_by else state.df
+            state = Bag((rows.offset(skipped) if skipped else rows).limit(max(0, int(constant(s[3])) - skipped)), state.single)
+        elif s[0] == "binary" and s[1] in "+-" and (sides := [side_bag(x, state, tables) for x in s[2:4]]) and all(sides):
+            state = together(s[1], *sides)
         elif is_call(s, "unique_by", 1):
             state = firsts(state, listed(s[2][0]))
         elif is_call(s, "unique", 0) and state.single:
-            state = Bag(state.df.select("value").distinct(), True)
+            state = Bag(distinct(state.df.select("value")), True)
         elif at == len(stages) - 1 and s[0] in ("object", "call", "binary", "reduce"):
             return whole(piped(stages[at:]), state)
         elif s[0] in ("call", "object") or (s[0] == "pipe"):
@@ -136,6 +139,41 @@ def run_bag(node, bag: Bag, tables: dict) -> DataFrame:
     return (state.df.orderBy(*state.sorted_by) if state.sorted_by else state.df).drop(ORD)
 
 
+def distinct(df: DataFrame) -> DataFrame:
+    """The different values; a NaN equals no other, so every one stays."""
+    if not isinstance(df.schema["value"].dataType, T.FractionalType) or isinstance(df.schema["value"].dataType, T.DecimalType):
+        return df.distinct()
+    return df.withColumn("__nan", F.when(F.isnan("value"), F.monotonically_increasing_id())).distinct().drop("__nan")
+
+
+def side_bag(node, bag: Bag, tables: dict) -> Bag | None:
+    """The bag of map(f) or $table | map(f), perhaps made unique; None for other filters."""
+    stages = flat(node)
+    if stages[0][0] == "var" and stages[0][1] in tables:
+        bag, stages = Bag(tables[stages[0][1]]), stages[1:]
+    if not stages or not is_call(stages[0], "map", 1) or not all(is_call(s, "map", 1) or is_call(s, "unique", 0) for s in stages):
+        return None
+    df = run_bag(piped(stages), bag, tables)
+    return Bag(df, True) if df.columns == ["value"] else None
+
+
+def together(op: str, a: Bag, b: Bag) -> Bag:
+    """a + b: the rows of both; a - b: the rows of a that equal none of b, NaN and nulls by the language's rules."""
+    kinds = [x.df.schema["value"].dataType for x in (a, b)]
+    left, right = a.df, b.df
+    if all(isinstance(k, T.NumericType) for k in kinds):
+        kind = kinds[0] if kinds[0] == kinds[1] else DOUBLE
+        left, right = (x.select(F.col("value").cast(kind).alias("value")) for x in (left, right))
+    elif kinds[0] != kinds[1] or not isinstance(kinds[0], (T.StringType, T.BooleanType)):
+        raise Unsupported("arrays of these kinds")
+    if op == "+":
+        return Bag(left.unionAll(right), True)
+    same = F.col("l.value").eqNullSafe(F.col("r.value"))
+    if isinstance(left.schema["value"].dataType, T.FractionalType):
+        right = right.where(F.col("value").isNull() | ~F.isnan("value"))
+    return Bag(left.alias("l").join(right.distinct().alias("r"), same, "left_anti"), True)
+
+
 def ordering(bag: Bag, keys: list) -> list:
     out = []
     for k in keys:
@@ -175,6 +213,8 @@ class Aggregates:
             self.needs_order = True
             v = scalar(("index", ("id",), node[2]), row)
             return Value(F.min_by(v.col, F.col(ORD)), v.type)
+        if node[0] == "call" and node[1] in ("any", "all") and len(node[2]) == 2 and node[2][0] == ("each", ("id",)):
+            node = ("call", node[1], node[2][1:])
         if node[0] == "call" and node[1] in ("any", "all") and len(node[2]) == 1:
             c = truthy(scalar(node[2][0], row))
             return Value(F.coalesce(F.bool_or(c), F.lit(False)) if node[1] == "any" else F.coalesce(F.bool_and(c), F.lit(True)), BOOLEAN)

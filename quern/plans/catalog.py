@@ -98,12 +98,63 @@ NATIVE: dict[str, tuple] = {
     "sort_all": ("slurp", "nation", {}, "sort_by(.n_regionkey, .n_name) | map({n_name, n_regionkey})", "SELECT n_name, n_regionkey FROM nation"),
     "pick_del": ("each", "region", {}, "pick(.r_name) + {k: .r_regionkey}", "SELECT r_name, r_regionkey AS k FROM region"),
     "distinct_agg": ("slurp", "events", {}, "group_by(.event_type) | map({t: .[0].event_type, users: (map(.user_id) | unique | length), top: (map(.value) | max), low: (map(.value) | min)})", "SELECT event_type AS t, count(DISTINCT user_id) AS users, max(value) AS top, min(value) AS low FROM events GROUP BY 1"),
+    "except_rows": (
+        "slurp", "orders", {"c": "customer"}, "map(.o_custkey) - ($c | map(.c_custkey)) | .[] | {k: .}",
+        "SELECT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    ),
+    "intersect_rows": (
+        "slurp", "supplier", {"n": "nation"}, "map(select(IN(.s_nationkey; $n[] | select(.n_regionkey < 2) | .n_nationkey))) | map({s_name})",
+        "SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)",
+    ),
+    "union_distinct": (
+        "slurp", "customer", {"s": "supplier"}, "(map(.c_nationkey) + ($s | map(.s_nationkey))) | unique | .[] | {k: .}",
+        "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    ),
+    "range_join": (
+        "slurp", "region", {"n": "nation"}, ".[] as $r | $n[] as $m | select($m.n_nationkey > $r.r_regionkey and $m.n_nationkey < $r.r_regionkey + 3) | {r: $r.r_name, n: $m.n_name}",
+        "SELECT r_name AS r, n_name AS n FROM region JOIN nation ON n_nationkey > r_regionkey AND n_nationkey < r_regionkey + 3",
+    ),
+    "skip_limit": (
+        "slurp", "orders", {}, "sort_by(.o_orderkey) | .[5:12] | map({o_orderkey})",
+        "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 7 OFFSET 5",
+    ),
+    "regex_splits": (
+        "each", "part", {}, "{p_partkey, n: (.p_type | [splits(\"[ #]+\")] | length)}",
+        "SELECT p_partkey, len(regexp_split_to_array(p_type, '[ #]+')) AS n FROM part",
+    ),
+    "slices": (
+        "each", "embeddings", {}, "{vec_id, a: (.embedding[2:5] | add * 1e4 | round), m: (.embedding | max), lo: (.embedding | min), any: (.embedding | any(. > 0.3)), u: (.embedding | unique | length)}",
+        "SELECT vec_id, round((embedding[3]::DOUBLE + embedding[4] + embedding[5]) * 1e4) AS a, list_max(embedding) AS m, list_min(embedding) AS lo, len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS any, len(list_distinct(embedding)) AS u FROM embeddings",
+    ),
+    "array_reduce": (
+        "each", "embeddings", {}, "{vec_id, s: (reduce .embedding[] as $x (0; . + $x * $x) | . * 1e4 | round), r: (.embedding | reverse | .[0]), t: (.embedding | sort | .[0])}",
+        "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * 1e4) AS s, embedding[-1] AS r, list_min(embedding) AS t FROM embeddings",
+    ),
+    "uri_sh": (
+        "each", "nation", {}, "{n_nationkey, u: (.n_name + \" &/é\" | @uri), s: (.n_name | @sh)}",
+        "SELECT n_nationkey, url_encode(n_name) || '%20%26%2F%C3%A9' AS u, '''' || n_name || '''' AS s FROM nation",
+    ),
+    "trig": (
+        "each", "customer", {}, "{c_custkey, s: (.c_acctbal | sin | . * 1e6 | round), a: (.c_acctbal | atan | . * 1e6 | round), e: (.c_acctbal / 1e4 | exp | . * 1e6 | round), f: (.c_acctbal | floor), t: (.c_acctbal | trunc), g: (.c_acctbal | fabs), c: (.c_nationkey | cbrt | . * 1e6 | round)}",
+        "SELECT c_custkey, round(sin(c_acctbal) * 1e6) AS s, round(atan(c_acctbal) * 1e6) AS a, round(exp(c_acctbal / 1e4) * 1e6) AS e, floor(c_acctbal) AS f, trunc(c_acctbal) AS t, abs(c_acctbal) AS g, round(cbrt(c_nationkey) * 1e6) AS c FROM customer",
+    ),
+    "indices": (
+        "each", "part", {}, "{p_partkey, i: (.p_brand | rindex(\"#\")), c: (.p_type | contains(\"E\")), l: (.p_name | length), b: (.p_name | utf8bytelength), e: (.p_type | endswith(\"R\"))}",
+        "SELECT p_partkey, (instr(p_brand, '#') - 1)::DOUBLE AS i, contains(p_type, 'E') AS c, length(p_name) AS l, strlen(p_name) AS b, ends_with(p_type, 'R') AS e FROM part",
+    ),
+    "empty_all": (
+        "slurp", "nation", {}, "{none: (map(select(.n_nationkey > 99)) | length), some: any(.[]; .n_regionkey == 3), every: all(.[]; .n_regionkey < 5)}",
+        "SELECT count(*) FILTER (n_nationkey > 99) AS none, bool_or(n_regionkey = 3) AS some, bool_and(n_regionkey < 5) AS every FROM nation",
+    ),
 }
 
 #: name: (mode, table, program, DuckDB query of the JSON text or None)
 KERNEL: dict[str, tuple] = {
     "kernel_walk": ("each", "region", "walk(if type == \"string\" then ascii_downcase else . end) | tojson", "SELECT '\"{\\\"r_regionkey\\\":' || r_regionkey || ',\\\"r_name\\\":\\\"' || lower(r_name) || '\\\"}\"' AS value, NULL::VARCHAR AS error FROM region"),
-    "kernel_tostream": ("each", "nation", "tostream", None),
+    "kernel_tostream": (
+        "each", "nation", "tostream",
+        "SELECT unnest(['[[\"n_nationkey\"],' || n_nationkey || ']', '[[\"n_name\"],\"' || n_name || '\"]', '[[\"n_regionkey\"],' || n_regionkey || ']', '[[\"n_regionkey\"]]']) AS value, NULL::VARCHAR AS error FROM nation",
+    ),
     "kernel_paths": ("each", "nation", "[paths]", "SELECT '[[\"n_nationkey\"],[\"n_name\"],[\"n_regionkey\"]]' AS value, NULL::VARCHAR AS error FROM nation"),
     "kernel_recursion": ("each", "region", "def fac: if . <= 1 then 1 else . * (. - 1 | fac) end; .r_regionkey | fac", "SELECT CASE r_regionkey WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN 4 THEN 24 ELSE 1 END::VARCHAR AS value, NULL::VARCHAR AS error FROM region"),
     "kernel_combinations": ("slurp", "region", "[map(.r_regionkey), [1, 2]] | combinations | add", "SELECT (r_regionkey + x)::VARCHAR AS value, NULL::VARCHAR AS error FROM region, (VALUES (1), (2)) t(x)"),
@@ -113,6 +164,22 @@ KERNEL: dict[str, tuple] = {
     "kernel_transpose": ("slurp", "region", "map([.r_regionkey, .r_name]) | transpose | .[0] | add", "SELECT sum(r_regionkey)::VARCHAR AS value, NULL::VARCHAR AS error FROM region"),
     "kernel_entries": ("each", "events", ".props | fromjson | to_entries | map(.key) | join(\",\")", "SELECT '\"k\"' AS value, NULL::VARCHAR AS error FROM events"),
     "kernel_label": ("each", "part", "label $out | foreach range(1; 100) as $i (0; . + $i; if . > 10 then ., break $out else empty end)", "SELECT '15' AS value, NULL::VARCHAR AS error FROM part"),
+    "kernel_limit_stream": ("slurp", "nation", "[limit(4; .[] | select(.n_nationkey > 2) | .n_nationkey)] | add", "SELECT '18' AS value, NULL::VARCHAR AS error"),
+    "kernel_code_points": ("each", "region", ".r_name | explode | map(. + 1) | implode", "SELECT '\"' || array_to_string(list_transform(string_split(r_name, ''), lambda c: chr(ascii(c) + 1)), '') || '\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_path_edit": ("each", "region", "setpath([\"a\",\"b\"]; .r_regionkey) | delpaths([[\"r_name\"],[\"r_regionkey\"]]) | getpath([\"a\",\"b\"])", "SELECT r_regionkey::VARCHAR AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_try_catch": ("each", "nation", "try (if .n_nationkey % 2 == 0 then error(\"even\") else .n_nationkey end) catch .", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN '\"even\"' ELSE n_nationkey::VARCHAR END AS value, NULL::VARCHAR AS error FROM nation"),
+    "kernel_destructure": ("each", "nation", ". as {n_name: $n, n_regionkey: $r} | \"\\($n):\\($r)\"", "SELECT '\"' || n_name || ':' || n_regionkey || '\"' AS value, NULL::VARCHAR AS error FROM nation"),
+    "kernel_alternative_patterns": ("slurp", "region", ".[] | [.r_regionkey], {a: .r_regionkey} | . as [$a] ?// {a: $a} | $a", "SELECT r_regionkey::VARCHAR AS value, NULL::VARCHAR AS error FROM region, range(2)"),
+    "kernel_loops": ("each", "region", ".r_regionkey | [recurse(if . < 6 then . + 2 else empty end)] + [while(. < 5; . + 1)] + [until(. > 7; . + 3)] + [limit(2; repeat(.))] | add", "WITH r AS (SELECT r_regionkey AS k FROM region) SELECT ((SELECT sum(x) FROM generate_series(k, 7, 2) g(x)) + coalesce((SELECT sum(x) FROM generate_series(k, 4) g(x)), 0) + (SELECT min(x) FROM generate_series(k, 12, 3) g(x) WHERE x > 7) + 2 * k)::BIGINT::VARCHAR AS value, NULL::VARCHAR AS error FROM r"),
+    "kernel_event_round_trip": ("each", "nation", "[tostream] | fromstream(.[]) | .n_name", "SELECT '\"' || n_name || '\"' AS value, NULL::VARCHAR AS error FROM nation"),
+    "kernel_truncated_events": ("each", "region", "[1 | truncate_stream([[\"a\",0],1],[[\"a\",0]])] | tojson", "SELECT '\"[[[0],1],[[0]]]\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_search_sorted": ("slurp", "nation", "map(.n_nationkey) | sort | bsearch(7), bsearch(7.5)", "SELECT unnest(['7', '-9']) AS value, NULL::VARCHAR AS error"),
+    "kernel_times": ("each", "orders", ".o_orderdate | strftime(\"%Y-%m-%d\") | strptime(\"%Y-%m-%d\") | mktime", "SELECT epoch(date_trunc('day', o_orderdate))::BIGINT::VARCHAR AS value, NULL::VARCHAR AS error FROM orders"),
+    "kernel_literal_text": ("each", "region", "\"[1.50,100000000000000000000,1E2]\" | fromjson | tojson", "SELECT '\"[1.50,100000000000000000000,1E+2]\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_total_order": ("slurp", "region", "[.[0], \"x\", null, [1], 2, true, false, nan] | sort | map(type) | join(\" \")", "SELECT '\"null boolean boolean number number string array object\"' AS value, NULL::VARCHAR AS error"),
+    "kernel_flatten_levels": ("each", "region", "[[.r_regionkey, [1]], [[2]]] | [flatten, flatten(1)] | tojson", "SELECT '\"[[' || r_regionkey || ',1,2],[' || r_regionkey || ',[1],[2]]]\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_base32": ("each", "region", ".r_name | @base32 | @base32d", "SELECT '\"' || r_name || '\"' AS value, NULL::VARCHAR AS error FROM region"),
+    "kernel_type_selectors": ("slurp", "region", "[.[0], 1, \"a\", null, [2]] | [(.[] | numbers), (.[] | strings), (.[] | iterables | length)] | tojson", "SELECT '\"[1,\\\"a\\\",2,1]\"' AS value, NULL::VARCHAR AS error"),
 }
 
 

@@ -8,6 +8,7 @@ and a zero divisor, give null here where the interpreter reports an error.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -447,6 +448,10 @@ def _array(node, scope):
         return _mapped(scalar(inner[1][1], scope), inner[2], scope)
     if inner[0] == "each":
         return scalar(inner[1], scope)
+    if inner[0] == "call" and inner[1] in ("splits", "scan") and len(inner[2]) == 1 and isinstance(constant(inner[2][0]), str):
+        pattern, x = constant(inner[2][0]), text(_dot(scope))
+        if not re.search(r"\(|[*?|^$]|\\b", pattern):  # no groups, no matches of nothing
+            return Value(F.split(x, pattern, -1) if inner[1] == "splits" else F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), T.ArrayType(STRING))
     items, todo = [], [inner]
     while todo:
         n = todo.pop()
@@ -537,6 +542,12 @@ def _call(node, scope):
             kind = v.type.elementType
             if name == "reverse":
                 return Value(F.reverse(v.col), v.type)
+            if isinstance(kind, (T.FloatType, T.DoubleType)):
+                parts = {"null": lambda x: x.isNull(), "nan": lambda x: F.isnan(x), "rest": lambda x: x.isNotNull() & ~F.isnan(x)}
+                found = {k: F.filter(v.col, f) for k, f in parts.items()}  # nulls, then NaN, which equals nothing, then the others
+                once = F.array_distinct if name == "unique" else lambda x: x
+                ordered = F.concat(once(found["null"]), found["nan"], F.sort_array(once(found["rest"])))
+                return Value(ordered, v.type) if name in ("sort", "unique") else Value(F.try_element_at(ordered, F.lit(1 if name == "min" else -1)), kind)
             if isinstance(kind, (T.StringType, T.IntegralType)):
                 ordered = F.sort_array(v.col if name in ("sort", "min", "max") else F.array_distinct(v.col))
                 return Value(ordered, v.type) if name in ("sort", "unique") else Value(F.try_element_at(ordered, F.lit(1 if name == "min" else -1)), kind)
@@ -570,6 +581,13 @@ def _call(node, scope):
             return Value(F.array_join(scope.dot.col, constant(a), ""), STRING)
         if name == "contains" and is_str(_dot(scope)):
             return Value(F.contains(scope.dot.col, text(scalar(a, scope))), BOOLEAN)
+        if name in ("any", "all") and isinstance(_dot(scope), Value) and isinstance(scope.dot.type, T.ArrayType):
+            test = lambda x: truthy(scalar(a, scope.at(Value(x, scope.dot.type.elementType))))
+            return Value(F.exists(scope.dot.col, test) if name == "any" else F.forall(scope.dot.col, test), BOOLEAN)
+        if name == "rindex" and is_str(_dot(scope)) and isinstance(constant(a), str) and constant(a):
+            sought, x = constant(a), scope.dot.col
+            back = F.instr(F.reverse(x), sought[::-1])
+            return Value(F.when(back > 0, (F.length(x) - back - len(sought) + 1).cast("double")), DOUBLE)
         if name == "index" and is_str(_dot(scope)):
             at = F.instr(scope.dot.col, constant(a))
             return Value(F.when(at > 0, (at - 1).cast("double")), DOUBLE)
@@ -614,6 +632,21 @@ def _call(node, scope):
     raise Unsupported(f"{name}/{len(args)}")
 
 
+def _reduce(node, scope):
+    """reduce .x[] as $v (0; f), the state a number."""
+    _, source, pattern, start, update, _ = node
+    if source[0] != "each" or pattern[0] != "name" or not isinstance(constant(start), float):
+        raise Unsupported("reduce")
+    v = scalar(source[1], scope)
+    if not isinstance(v, Value) or not isinstance(v.type, T.ArrayType):
+        raise Unsupported("reduce")
+
+    def step(state, x):
+        return num(scalar(update, Scope(Value(state, DOUBLE), {**scope.variables, pattern[1]: Value(x, v.type.elementType)}))).cast("double")
+
+    return Value(F.aggregate(v.col, F.lit(constant(start)), step), DOUBLE)
+
+
 def _binary(node, scope):
     a, b = scalar(node[2], scope), scalar(node[3], scope)
     return compared(node[1], a, b) if node[1] in ("==", "!=", "<", "<=", ">", ">=") else arithmetic(node[1], a, b)
@@ -625,6 +658,6 @@ def _logic(a, b, join) -> Value:
 
 RULES = {
     "id": lambda n, s: _dot(s), "literal": _literal, "var": _var, "index": _index, "slice": _slice, "pipe": _pipe, "binary": _binary, "alt": _alt, "if": _if, "object": _object,
-    "negate": lambda n, s: Value(-num(scalar(n[1], s)), DOUBLE), "as": _as, "join": _join, "assign": _assign, "array": _array, "format": _format, "call": _call,
+    "negate": lambda n, s: Value(-num(scalar(n[1], s)), DOUBLE), "as": _as, "join": _join, "assign": _assign, "array": _array, "format": _format, "call": _call, "reduce": _reduce,
     "and": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a & b), "or": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a | b),
 }

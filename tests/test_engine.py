@@ -57,6 +57,32 @@ def test_tiers_agree(spark, program):
     assert native == kernel
 
 
+ARRAYS = ["{s: (.d | sort), u: (.d | unique | length), lo: (.d | min), hi: (.d | max)}", "{a: (.d | any(. > 1)), e: (.d | all(. == null)), r: (reduce .l[] as $x (1; . * $x)), i: (.s | rindex(\"ab\")), w: (.s | [splits(\"b+\")]), f: (.s | [scan(\"[a-c]\")])}"]
+
+
+@pytest.mark.parametrize("program", ARRAYS)
+def test_arrays_agree(spark, program):
+    nan = float("nan")
+    df = spark.createDataFrame([([2.0, None, nan, 1.0, nan, None, 2.0], [2, 3], "ababxab"), ([], [], ""), ([None], [7], "é😀abé")], "d array<double>, l array<long>, s string")
+    native = [json.loads(values.dumps(as_json(r.asDict(recursive=True)))) for r in run(spark, df, program, native=True).collect()]
+    assert native == [json.loads(r["value"]) for r in run(spark, df, program, native=False).collect()]
+
+
+@pytest.mark.parametrize("program", ["map(.a) - ($t | map(.a)) | .[]", "map(.a) + ($t | map(.a)) | .[]", "(map(.a) + ($t | map(.a))) | unique | length", "sort_by(.b) | .[1:3] | map(.b) | .[]"])
+def test_bags_agree(spark, program):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 5), (None, 3), (2.0, 4), (2.0, 1), (nan, 2)], "a double, b long").coalesce(1)
+    other = spark.createDataFrame([(2.0,), (nan,), (None,)], "a double").coalesce(1)
+    native = run(spark, df, program, "slurp", tables={"t": other}, native=True).collect()
+    kernel = run(spark, df, program, "slurp", tables={"t": other}, native=False).collect()
+    assert sorted(values.dumps(as_json(r["value"])) for r in native) == sorted(r["value"] for r in kernel)
+
+
+def test_only_needed_columns_are_read(spark):
+    plan = run(spark, spark.read.parquet(FOLDER + "/events.parquet"), "select(.value > 1) | .props | fromjson | keys", native=False)._jdf.queryExecution().executedPlan().toString()
+    assert "user_id" not in plan and "props" in plan
+
+
 def as_json(x):
     if isinstance(x, dict):
         return {k: as_json(v) for k, v in x.items()}
