@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -11,7 +12,7 @@ import sentencepiece
 import xxhash
 
 import corpus_pipeline
-from quern.llm import imatch, katz, licenses, mixing, pieces, quality, registry, simhash, toxicity, unigram, vectors
+from quern.llm import imatch, katz, licenses, mixing, pieces, quality, registry, shingles, simhash, toxicity, unigram, vectors
 from quern.llm.components import components
 
 from .conftest import label_rows, rows
@@ -318,3 +319,30 @@ def test_vectors_dense_cells(spark):
     found = vectors.near_vectors(frame).toPandas().sort_values("vec_id")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert found["n_links"].tolist() == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+def test_near_duplicate_stage(spark):
+    draw = random.Random(11)
+    texts = []
+    for n in (40, 60, 120, 300) * 6:
+        words = [draw.choice("abcdefgh") + str(draw.randrange(500)) for _ in range(n)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):  # from alike to unlike
+            copy = list(words)
+            for _ in range(edits):
+                copy[draw.randrange(n)] = "edit" + str(draw.random())
+            texts.append(" ".join(copy))
+    draw.shuffle(texts)
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {g: group.index(g) for g in group}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in shingles.near_groups(docs).collect()}
+    assert found == {i: least[g] for i, g in enumerate(group)}
+    assert len(texts) / 4 < len(set(group)) < len(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.single(spark, docs, "").collect()} == set(least.values())
