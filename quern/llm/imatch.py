@@ -26,8 +26,8 @@ from .text import U, batch_words, mix
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: A term of a small corpus must be in so many documents at least.
 LEAST_DOCS = 2
-#: Random subsets for each rate; rates are powers of RATE.
-SUBSETS, RATES, RATE = 16, 6, 3
+#: Random subsets for each rate; rates are powers of RATE, the last suits texts of about 800,000 lexicon terms.
+SUBSETS, RATES, RATE = 16, 13, 3
 
 
 def distinct_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +87,12 @@ class Fingerprints:
         out = np.zeros((n, SUBSETS * RATES), dtype=np.uint16)
         for k in range(SUBSETS):
             chance = mix(term ^ mix(np.array([k + 1], dtype=U)))
-            value = mix(chance)
+            d, v = doc, mix(chance)
             for r in range(RATES):
                 inside = chance < U((1 << 64) // RATE**r - (r == 0))
-                d, v = doc[inside], value[inside]  # still sorted by text, then term
+                chance, d, v = chance[inside], d[inside], v[inside]  # each within the last, still sorted by text, then term
                 if not len(d):
-                    continue
+                    break
                 first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 place = np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))
                 total = np.add.reduceat(mix(v + place.astype(U)), first)

@@ -346,3 +346,18 @@ def test_near_duplicate_stage(spark):
     assert found == {i: least[g] for i, g in enumerate(group)}
     assert len(texts) / 4 < len(set(group)) < len(texts)
     assert {r["doc_id"] for r in corpus_pipeline.single(spark, docs, "").collect()} == set(least.values())
+
+
+def test_imatch_of_long_texts():
+    terms = [f"term{i}" for i in range(40_000)]
+    lexicon = np.unique(imatch.distinct_terms(imatch.pa.array([" ".join(terms)]))[1])
+    prints = imatch.Fingerprints(lexicon)
+    for n in (100, 1000, 5000, 20_000):
+        near, apart = [], []
+        for at in range(0, 16_000, 1000):
+            text, following = " ".join(terms[at : at + n]), " ".join((terms[at + n :] + terms)[:n])
+            found, many = prints.of(imatch.pa.array([text, imatch.edited(text, following)]))
+            near.append(imatch.likeness(found[:1], found[1:], many[:1], many[1:])[0])
+            other, count = prints.of(imatch.pa.array([" ".join(f"{n} other{i}" for i in range(n // 2))]))
+            apart.append(imatch.likeness(found[:1], other, many[:1], count)[0])
+        assert np.mean(near) > 0.15 and np.mean(apart) < 0.05, n
