@@ -67,9 +67,9 @@ class Report:
 def report(df: DataFrame, exit_status: bool = False, shown: int = 100) -> Report:
     """0, 5 if records failed, a halt's own code; with exit_status 4 without output and 1 if the last was null or false."""
     errors = [r["error"] for r in df.where("error IS NOT NULL").select("error").limit(shown).collect()]
-    halted = next((e for e in errors if e.startswith("halt ")), None)
+    halted = df.where("error RLIKE '^halt -?[0-9]+:'").select("error").head(1)
     if halted:
-        return Report(int(halted.split()[1].rstrip(":")), errors)
+        return Report(int(halted[0]["error"].split()[1].rstrip(":")), errors)
     if errors:
         return Report(5, errors)
     if exit_status:

@@ -138,3 +138,9 @@ def test_streaming(spark, tmp_path):
 def test_order_of_all_kinds():
     every = list(Reader('null false true -1 0 2.5 "" "a" "é" [] [1] [1,0] {} {"a":1} {"a":2} {"b":0}').values())
     assert sorted(reversed(every), key=values.order) == every
+
+
+def test_halt_behind_many_errors(spark):
+    rows = [(None, f"error {i}") for i in range(150)] + [(None, "halt 3: stop")]
+    found = text.report(spark.createDataFrame(rows, "value string, error string").coalesce(1))
+    assert found.code == 3 and len(found.errors) == 100
