@@ -30,11 +30,13 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): vectors with only finite components, not all zero."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, negated: bool = False) -> DataFrame:
+    """(vec_id, v): vectors with only finite components, not all zero; negated: the other rows, null ids among them."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(finite & F.exists("v", lambda x: x != 0))
+    fine = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    known = F.col(id_col).cast("long").isNotNull()
+    return vectors.where(~(fine & known) if negated else fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def candidates(classes: DataFrame, cosine: float, dim: int) -> DataFrame:
@@ -148,6 +150,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     of = classes.select("rep", "copies", "h", "v").join(counts, "rep", "left").join(reached, "rep", "left")
     of = of.select(F.col("h").alias("h2"), F.col("v").alias("v2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     known = rows.join(of, (rows.h == of.h2) & (rows.v == of.v2)).select("vec_id", "n_links", "component_id")
-    alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v0")).join(usable(vectors, id_col, vector_col).where("vec_id IS NOT NULL").select("vec_id").distinct(), "vec_id", "left_anti")
+    alone = usable(vectors, id_col, vector_col, negated=True)
     rest = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -361,3 +361,9 @@ def test_imatch_of_long_texts():
             other, count = prints.of(imatch.pa.array([" ".join(f"{n} other{i}" for i in range(n // 2))]))
             apart.append(imatch.likeness(found[:1], other, many[:1], count)[0])
         assert np.mean(near) > 0.15 and np.mean(apart) < 0.05, n
+
+
+def test_unusable_vectors_of_repeated_ids(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (1, None), (1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    found = vectors.near_vectors(table).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in found) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 0)]
