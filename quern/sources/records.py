@@ -107,6 +107,8 @@ def outputs(job: Job, env: kernel.Env, v, place: str | None = None) -> Iterator[
         row = None, f"halt {h.code}: {h.value if isinstance(h.value, str) else dumps(h.value) + chr(10)}", "halt"
     except RecursionError:
         row = None, "the program nests too deeply", place
+    except Exception as e:  # no record may end the job
+        row = None, f"{type(e).__name__}: {e}", place
     yield from messages() if run.messages else ()
     if row:
         yield row
