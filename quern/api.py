@@ -6,6 +6,7 @@ import datetime
 import functools
 import itertools
 import os
+import warnings
 from decimal import Decimal
 
 import pyarrow as pa
@@ -16,11 +17,14 @@ from .functions import kernel
 from .functions.reader import events
 from .operators.bags import Bag, flat, piped, run_bag
 from .plans.columns import Scope, Unsupported, Value, pieces
+from .plans.inline import inline
 from .plans.needs import needed
 from .plans.parse import parse
 from .sources.records import Job, calls, evaluate, read
 from .sources.ship import ship
 
+#: Rows of a side table that an interpreted program may read whole.
+SIDE_ROWS = 1_000_000
 RESULT = "value string, error string, note string"
 
 
@@ -46,21 +50,32 @@ def run(
     tables, args = tables or {}, args or {}
     tree = parse(program, kernel.known(), [*args, *tables])
     if native is not False and not (stream or raw or args or mode == "null") and isinstance(df, DataFrame):
+        flat_tree = inline(tree)
         try:
-            return compile_each(tree, df) if mode == "each" else run_bag(tree, Bag(df), tables)
-        except Unsupported:
+            return compile_each(flat_tree, df) if mode == "each" else run_bag(flat_tree, df, tables)
+        except Unsupported as why:
             if native:
                 raise
-    held = {k: [plain(r.asDict(recursive=True)) for r in t.collect()] for k, t in tables.items()}  # side inputs that a program reads whole
+            if mode == "slurp":
+                warnings.warn(f"the program isn't compiled ({why}): all rows are read into one task", stacklevel=2)
+    held = {k: side_rows(k, t) for k, t in tables.items()}
     job = Job(tree, mode, args, positional or [], held, raw, stream, environment=dict(os.environ) if calls(tree, {"env", "ENV"}) else {})
     return interpret(spark, job, df, whole_text, filename).select("value", "error")
 
 
+def side_rows(name: str, table: DataFrame) -> list:
+    """The rows of a table that an interpreted program reads whole, if they are few enough to send to every task."""
+    rows = table.limit(SIDE_ROWS + 1).collect()
+    if len(rows) > SIDE_ROWS:
+        raise ValueError(f"${name} has more than {SIDE_ROWS} rows, too many for a program that isn't compiled")
+    return [plain(r.asDict(recursive=True)) for r in rows]
+
+
 def compile_each(tree, df: DataFrame) -> DataFrame:
     """A stateless transformation of each row; it holds for streaming DataFrames as well."""
     stages = flat(tree)
     at = next((i for i, s in enumerate(stages) if s[0] == "each"), None)
-    if at is not None:
+    if at is not None and not any(s[0] == "as" for s in stages[:at]):
         condition, v = pieces(piped([*stages[:at], stages[at][1]]), Scope(Bag(df).row()))
         if not isinstance(v, Value) or v.type.typeName() != "array":
             raise Unsupported("each of this kind")

@@ -8,6 +8,7 @@ and a zero divisor, give null here where the interpreter reports an error.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import ended
+
 
 class Unsupported(Exception):
     pass
@@ -38,13 +41,33 @@ class Row:
     fields: dict
 
 
+@dataclass
+class Pair:
+    """Two joined rows, as an array of two."""
+
+    left: Row
+    right: Row
+
+
 DOUBLE, STRING, BOOLEAN, LONG = T.DoubleType(), T.StringType(), T.BooleanType(), T.LongType()
+
+
+def _kept(f):
+    """A rounding that keeps NaN, infinities, numbers without a fraction and the sign of zero."""
+
+    def of(x):
+        whole = f(x).cast("double")
+        return F.when(F.isnan(x) | (F.abs(x) >= F.lit(2.0**53)), x).when(whole == 0, x * F.lit(0.0)).otherwise(whole)
+
+    return of
+
+
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Number functions whose column function agrees for finite arguments.
 MATH = {
-    "floor": F.floor, "ceil": F.ceil, "round": F.round, "fabs": F.abs, "abs": F.abs, "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "expm1": F.expm1,
+    "floor": _kept(F.floor), "ceil": _kept(F.ceil), "round": _kept(lambda x: F.signum(x) * (F.floor(F.abs(x)) + (F.abs(x) - F.floor(F.abs(x)) >= 0.5).cast("int"))), "fabs": F.abs, "abs": F.abs, "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "expm1": F.expm1,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh,
-    "rint": F.rint, "exp2": lambda x: F.pow(F.lit(2.0), x), "exp10": lambda x: F.pow(F.lit(10.0), x), "trunc": lambda x: F.signum(x) * F.floor(F.abs(x)),
+    "rint": F.rint, "exp2": lambda x: F.pow(F.lit(2.0), x), "exp10": lambda x: F.pow(F.lit(10.0), x), "trunc": _kept(lambda x: F.signum(x) * F.floor(F.abs(x))),
 }
 LOGS = {"log": (F.log, 0.0), "log2": (F.log2, 0.0), "log10": (F.log10, 0.0), "log1p": (F.log1p, -1.0)}
 PAIRS = {"pow": F.pow, "atan2": F.atan2, "hypot": F.hypot}
@@ -58,6 +81,10 @@ def is_num(v) -> bool:
     return isinstance(v, Value) and isinstance(v.type, T.NumericType)
 
 
+def is_float(v) -> bool:
+    return isinstance(v, Value) and isinstance(v.type, (T.DoubleType, T.FloatType))
+
+
 def is_str(v) -> bool:
     return isinstance(v, Value) and isinstance(v.type, T.StringType)
 
@@ -121,6 +148,9 @@ def compared(op: str, a, b) -> Value:
     a, b = struct(a), struct(b)
     if is_time(a) or is_time(b):
         a, b = Value(num(a), DOUBLE), Value(num(b), DOUBLE)
+    if op in ("==", "!=") and is_null(a) != is_null(b):
+        known = (b if is_null(a) else a).col.isNotNull()
+        return Value(known if op == "!=" else ~known, BOOLEAN, known if op == "!=" else None)
     same = is_null(a) or is_null(b) or (is_num(a) and is_num(b)) or type(a.type) is type(b.type)
     if not same or isinstance(a.type, (T.StructType, T.ArrayType, T.MapType)):
         raise Unsupported("compared kinds")
@@ -179,8 +209,9 @@ def arithmetic(op: str, a, b) -> Value:
         return split(a, b)
     x, y = num(a), num(b)
     if op == "%":
-        whole = lambda c: (F.signum(c) * F.floor(F.abs(c))).try_cast("long")
-        return Value(F.try_mod(whole(x), whole(y)).cast("double"), DOUBLE)
+        whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
+        rest = F.when(whole(y) == -1, F.lit(0.0)).otherwise(F.try_mod(whole(x), whole(y)).cast("double"))
+        return Value(F.when(F.isnan(x) | F.isnan(y), F.lit(float("nan"))).otherwise(rest), DOUBLE)
     return Value({"-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[op](), DOUBLE)
 
 
@@ -190,19 +221,53 @@ def split(a: Value, b: Value) -> Value:
 
 
 def number_text(v: Value) -> Column:
-    """How a number prints; doubles that aren't whole print as Spark's shortest digits do in the plain range."""
-    if isinstance(v.type, T.IntegralType):
-        return v.col.cast("string")
+    """How a number prints: the fewest digits that read back, an exponent only far from the point; null for null."""
     x = v.col.cast("double")
-    return F.when((F.abs(x) < 1e15) & (x == F.floor(x)), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    whole = F.when(F.abs(x) < 1e15, x).cast("long")
+    if isinstance(v.type, T.IntegralType) and not isinstance(v.type, T.LongType):
+        return v.col.cast("string")
+    # Java's own digits aren't always the fewest, so 15 and 16 of them are tried first
+    shorter = [F.format_string(f"%.{n}e", F.abs(x)) for n in (14, 15)]
+    found = F.when(shorter[0].cast("double") == F.abs(x), shorter[0]).when(shorter[1].cast("double") == F.abs(x), shorter[1]).otherwise(F.abs(x).cast("string"))
+    low = F.lower(found)
+    mantissa = F.substring_index(low, "e", 1)
+    exponent = F.when(F.contains(low, F.lit("e")), F.substring_index(low, "e", -1).cast("int")).otherwise(F.lit(0))
+    every = F.replace(mantissa, F.lit("."), F.lit(""))
+    lead = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
+    body = F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0"))
+    point = F.instr(F.concat(mantissa, F.lit(".")), ".") - 1 - lead + exponent
+    n = F.length(body)
+    e = point - 1
+    far = F.concat(F.substring(body, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(body, F.lit(2), n))).otherwise(F.lit("")), F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    near = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), body))
+        .when(n <= point, F.concat(body, F.repeat(F.lit("0"), point - n)))
+        .otherwise(F.concat(F.substring(body, F.lit(1), point), F.lit("."), F.substring(body, point + 1, n)))
+    )
+    digits = F.when((point <= -4) | (point > n + 15), far).otherwise(near)
+    minus = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
+    return (
+        F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("null"))
+        .when((whole == x) & (whole != 0), whole.cast("string"))
+        .when(x == 0, F.concat(minus, F.lit("0")))
+        .when(F.abs(x) == float("inf"), F.concat(minus, F.lit("1.7976931348623157e+308")))
+        .otherwise(F.concat(minus, digits))
+    )
 
 
 def tostring(v) -> Column:
     v = struct(v)
     if is_str(v):
         return F.coalesce(v.col, F.lit("null"))
-    if isinstance(v.type, T.BooleanType) or isinstance(v.type, T.IntegralType):
+    if isinstance(v.type, T.BooleanType) or (isinstance(v.type, T.IntegralType) and not isinstance(v.type, T.LongType)):
         return F.coalesce(v.col.cast("string"), F.lit("null"))
+    if isinstance(v.type, T.LongType):  # beyond 2^53 a number isn't its digits
+        plain = v.col.cast("string")
+        return F.coalesce(F.when(F.abs(v.col) <= F.lit(2**53), plain).otherwise(number_text(v)), F.lit("null"))
+    if is_time(v):
+        v = seconds(v)
+    if is_num(v):
+        return F.coalesce(number_text(v), F.lit("null"))
     if is_null(v):
         return F.lit("null")
     raise Unsupported("text of this kind")
@@ -289,6 +354,12 @@ def _var(node, scope):
 def _index(node, scope):
     target = scalar(node[1], scope)
     k = constant(node[2])
+    if isinstance(target, Pair) and k in (0.0, 1.0) and not isinstance(k, bool):
+        return target.right if k else target.left
+    if isinstance(k, bool):
+        raise Unsupported("index")
+    if is_null(target):
+        return target
     if isinstance(k, str):
         if isinstance(target, Row):
             return target.fields.get(k) or Value(F.lit(None), T.NullType())
@@ -297,22 +368,35 @@ def _index(node, scope):
         if isinstance(target.type, T.MapType):
             return Value(F.try_element_at(target.col, F.lit(k)), target.type.valueType)
     elif isinstance(k, (float, int)) and isinstance(target, Value) and isinstance(target.type, T.ArrayType):
-        i = int(k // 1)
+        if not abs(k) < 2**31:
+            return Value(F.lit(None).cast(target.type.elementType), target.type.elementType)
+        i = int(k)
         return Value(F.try_element_at(target.col, F.lit(i + 1 if i >= 0 else i)), target.type.elementType)
     raise Unsupported("index")
 
 
+def _bound(node, rounded) -> int | None:
+    x = constant(node)
+    if x is None or x != x:
+        return None
+    if isinstance(x, bool) or not isinstance(x, (int, float)):
+        raise Unsupported("bound")
+    return max(-(2**31) + 1, min(2**31 - 1, rounded(x))) if math.isfinite(x) else int(math.copysign(2**31 - 1, x))
+
+
 def _slice(node, scope):
     target = scalar(node[1], scope)
-    start, end = (None if x is None else int(constant(x)) for x in node[2:4])
+    start, end = (None if x is None else _bound(x, f) for x, f in zip(node[2:4], (math.floor, math.ceil), strict=True))
     if is_str(target):
         n, cut = F.length(target.col), lambda a, size: F.substring(target.col, a + 1, size)
     elif isinstance(target, Value) and isinstance(target.type, T.ArrayType):
         n, cut = F.size(target.col), lambda a, size: F.slice(target.col, a + 1, size)
     else:
         raise Unsupported("slice")
-    place = lambda x, default: default if x is None else F.least(F.greatest(F.lit(x) + (n if x < 0 else 0), F.lit(0)), n)
-    a, b = place(start, F.lit(0)), place(end, n)
+    # an end of -0.5 is rounded to 0, but counts from the end
+    back = node[3] is not None and (x := constant(node[3])) is not None and x < 0
+    place = lambda x, default, back: default if x is None else F.least(F.greatest(F.lit(x) + (n if back else 0), F.lit(0)), n)
+    a, b = place(start, F.lit(0), start is not None and start < 0), place(end, n, back)
     return Value(F.when(target.col.isNotNull(), cut(a, F.greatest(b - a, F.lit(0)))), target.type)
 
 
@@ -349,9 +433,28 @@ def _object(node, scope):
 
 def _as(node, scope):
     _, source, patterns, _, body = node
-    if len(patterns) != 1 or patterns[0][0] != "name":
-        raise Unsupported("pattern")
-    return scalar(body, scope.bind(**{patterns[0][1]: scalar(source, scope)}))
+    if len(patterns) != 1:
+        raise Unsupported("alternative patterns")
+    return scalar(body, bound(patterns[0], scalar(source, scope), scope))
+
+
+def bound(pattern, v, scope: Scope) -> Scope:
+    """The scope with the variables of a pattern."""
+    if pattern[0] == "name":
+        return scope.bind(**{pattern[1]: v})
+    if pattern[0] == "also":
+        return bound(pattern[2], v, scope.bind(**{pattern[1]: v}))
+    if pattern[0] == "items":
+        if not (isinstance(v, Value) and isinstance(v.type, T.ArrayType)):
+            raise Unsupported("pattern")
+        parts = [(("literal", float(i)), p) for i, p in enumerate(pattern[1])]
+    else:
+        if not (isinstance(v, Row) or isinstance(v.type, (T.StructType, T.MapType))):
+            raise Unsupported("pattern")
+        parts = pattern[1]
+    for k, p in parts:
+        scope = bound(p, _index((None, ("id",), k), Scope(v)), scope)
+    return scope
 
 
 def _join(node, scope):
@@ -374,11 +477,17 @@ def _pipe(node, scope):
             else:
                 items.append(scalar(n, scope))
         return Value(_csv(items), STRING)
+    if node[1][0] == "array" and node[2] == ("format", "tsv"):
+        return Value(_tsv([scalar(n, scope) for n in _commas(node[1][1])]), STRING)
     if node[1][0] == "call" and node[1][1] == "fromjson":  # fromjson | .a.b | tonumber
         return _json(node[2], scope)
     return scalar(node[2], scope.at(scalar(node[1], scope)))
 
 
+def _commas(node) -> list:
+    return [*_commas(node[1]), *_commas(node[2])] if node[0] == "comma" else [node]
+
+
 def _json(node, scope):
     source = text(_dot(scope))
     if node[0] == "pipe" and node[2][0] == "call" and node[2][1] in ("tonumber", "tostring"):
@@ -420,19 +529,62 @@ def _array_filter(f, scope, kind):
     return of
 
 
+EMPTY = ("call", "empty", ())
+
+
 def pieces(node, scope):
     """(condition or None, output) of a filter made of selects and one-output filters."""
+    if scope.bag is not None:
+        return None, scalar(node, scope)
     if node[0] == "call" and node[1] == "select" and len(node[2]) == 1:
         return condition(scalar(node[2][0], scope)), _dot(scope)
-    if node[0] == "call" and node[1] == "empty":
-        raise Unsupported("empty")
+    if node == EMPTY:
+        return F.lit(False), Value(F.lit(None), T.NullType())
+    if node[0] == "if" and EMPTY in (node[2], node[3]) and node[2] != node[3]:
+        c = scalar(node[1], scope)
+        here = condition(c) if node[3] == EMPTY else ~truthy(c)
+        kept, out = pieces(node[2] if node[3] == EMPTY else node[3], scope)
+        return here if kept is None else here & kept, out
+    if node in (("call", "values", ()), ("call", "nulls", ())):
+        v = _dot(scope)
+        known = F.lit(True) if isinstance(v, Row) else v.col.isNotNull()
+        return known if node[1] == "values" else ~known, v
+    if node[0] == "as" and len(node[2]) == 1:
+        kept, v = pieces(node[1], scope)
+        more, out = pieces(node[4], bound(node[2][0], v, scope))
+        return (more if kept is None else kept if more is None else kept & more), out
+    if node[0] == "call" and node[1] == "capture" and len(node[2]) == 1:
+        return _capture(node, scope)
+    if node[0] == "try" and sure(node[1]):
+        return pieces(node[1], scope)
     if node[0] == "pipe":
+        if node[1][0] == "array" and node[2][0] == "format":
+            return None, _pipe(node, scope)
+        if node[1][0] == "call" and node[1][1] == "fromjson":
+            return None, _pipe(node, scope)
         a, x = pieces(node[1], scope)
         b, y = pieces(node[2], Scope(x, scope.variables))
         return (b if a is None else a if b is None else a & b), y
     return None, scalar(node, scope)
 
 
+#: Filters without errors of their own on typed columns, whatever their input's value.
+SURE = {"id", "literal", "var", "index", "object", "and", "or", "alt", "if", "as", "pipe", "join", "text", "format"}
+
+
+def sure(node) -> bool:
+    """Whether a filter that compiles can't fail, so that a try around it changes nothing."""
+    if not isinstance(node, tuple):
+        return True
+    if node and isinstance(node[0], str) and node[0] not in SURE:
+        if node[0] == "call":
+            return node[1] in ("not", "select", "tostring", "type", "tojson", "empty", "values", "nulls") and all(map(sure, node[2]))
+        if node[0] == "binary":
+            return node[1] in ("==", "!=", "<", "<=", ">", ">=") and sure(node[2]) and sure(node[3])
+        return node[0] in ("name", "also", "items", "fields") or not isinstance(node[-1], tuple)
+    return all(sure(x) for x in node if isinstance(x, tuple))
+
+
 def _mapped(target, f, scope):
     if not (isinstance(target, Value) and isinstance(target.type, T.ArrayType)):
         raise Unsupported("map over this kind")
@@ -451,6 +603,7 @@ def _array(node, scope):
     if inner[0] == "call" and inner[1] in ("splits", "scan") and len(inner[2]) == 1 and isinstance(constant(inner[2][0]), str):
         pattern, x = constant(inner[2][0]), text(_dot(scope))
         if not re.search(r"\(|[*?|^$]|\\b", pattern):  # no groups, no matches of nothing
+            pattern = java(pattern)
             return Value(F.split(x, pattern, -1) if inner[1] == "splits" else F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), T.ArrayType(STRING))
     items, todo = [], [inner]
     while todo:
@@ -478,13 +631,65 @@ def _csv(items) -> Column:
     for v in items:
         if is_str(v):
             cells.append(F.when(v.col.isNull(), F.lit("")).otherwise(F.concat(F.lit('"'), F.replace(v.col, F.lit('"'), F.lit('""')), F.lit('"'))))
-        elif isinstance(v.type, (T.IntegralType, T.BooleanType)):
-            cells.append(F.coalesce(v.col.cast("string"), F.lit("")))
         else:
-            raise Unsupported("cell")
+            cells.append(_cell(v))
     return F.concat_ws(",", *cells)
 
 
+def _cell(v) -> Column:
+    if isinstance(v, Row) or isinstance(v.type, (T.ArrayType, T.MapType, T.StructType)):
+        raise Unsupported("cell")
+    return F.lit("") if is_null(v) else F.when(v.col.isNull(), F.lit("")).otherwise(tostring(v))
+
+
+def _tsv(items) -> Column:
+    cells = []
+    for v in items:
+        x = _cell(v)
+        if is_str(v):
+            for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+                x = F.replace(x, F.lit(a), F.lit(b))
+        cells.append(x)
+    return F.concat_ws("\t", *cells)
+
+
+#: Parts of patterns that Java reads otherwise, or not at all.
+FOREIGN = re.compile(r"\(\?P|\(\?>|\(\?[a-zA-Z^-]+[:)]|\[\[:|\\[pPQERKkhHXGzZA]|\\x\{|&&|--|~~|\|\||[+*?}]\+")
+
+
+def java(pattern: str, flags: str = "") -> str:
+    """A pattern as Java means it: classes over all characters, lines that end with a newline, '$' at the very end."""
+    if FOREIGN.search(pattern) or set(flags) - set("gixs"):
+        raise Unsupported("pattern")
+    return "(?dUu" + "".join(c for c in flags if c in "ixs") + ")" + ended(pattern, "\\z")
+
+
+def consuming(pattern: str) -> bool:
+    """Whether every match has a character at least."""
+    try:
+        return not re.search(r"\(\?[=!<]|\\[bB]", re.sub(r"\(\?<(?![=!])", "(", pattern)) and not re.match(f"(?:{re.sub(r'[(][?]<(?![=!])', '(?P<', pattern)})", "")
+    except re.error:
+        return False
+
+
+def _capture(node, scope):
+    """capture(re) of its first match: an object of the named groups, if all of them take part in every match."""
+    pattern, x = constant(node[2][0]), text(_dot(scope))
+    if not isinstance(pattern, str):
+        raise Unsupported("pattern")
+    names = re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)
+    if not names or not _plain_groups(pattern):
+        raise Unsupported("pattern")
+    form = java(pattern)
+    return F.rlike(x, F.lit(form)), Row({n: Value(F.regexp_extract(x, form, i + 1), STRING) for i, n in enumerate(names)})
+
+
+def _plain_groups(pattern: str) -> bool:
+    """Whether all groups are named and none is optional or in an alternative."""
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]", "x", pattern)
+    return "|" not in bare and not re.search(r"\)[*?{]", bare) and len(re.findall(r"\((?!\?)", bare)) == 0 and not re.search(r"\(\?(?!<[A-Za-z])", bare)
+
+
 def _call(node, scope):
     name, args = node[1], node[2]
     v = scope.dot
@@ -560,11 +765,9 @@ def _call(node, scope):
     if name in ("test", "gsub", "sub", "scan", "capture", "splits") and isinstance(constant(args[0]), str):
         pattern, x = constant(args[0]), text(_dot(scope))
         if name == "test":
-            flags = constant(args[1]) if len(args) > 1 else ""
-            lead = "(?" + "".join(c for c in flags if c in "ixs") + ")" if any(c in "ixs" for c in flags) else ""
-            return Value(F.rlike(x, F.lit(lead + pattern)), BOOLEAN)
-        if name == "gsub" and len(args) == 2 and args[1][0] == "literal":
-            return Value(F.regexp_replace(x, F.lit(pattern), F.lit(args[1][1].replace("\\", "\\\\").replace("$", "\\$"))), STRING)
+            return Value(F.rlike(x, F.lit(java(pattern, (constant(args[1]) or "") if len(args) > 1 else ""))), BOOLEAN)
+        if name in ("gsub", "sub") and len(args) == 2 and consuming(pattern):
+            return Value(_replaced(x, pattern, args[1], name == "gsub"), STRING)
         raise Unsupported(name)
     if len(args) == 1:
         a = args[0]
@@ -575,6 +778,8 @@ def _call(node, scope):
             x, y = text(_dot(scope)), text(scalar(a, scope))
             cut = F.substring(x, F.length(y) + 1, F.length(x)) if name == "ltrimstr" else F.substring(x, F.lit(1), F.length(x) - F.length(y))
             return Value(F.when(F.startswith(x, y) if name == "ltrimstr" else F.endswith(x, y), cut).otherwise(x), STRING)
+        if name == "trimstr":
+            return scalar(("pipe", ("call", "ltrimstr", args), ("call", "rtrimstr", args)), scope)
         if name == "split":
             return split(_dot(scope), scalar(a, scope))
         if name == "join" and isinstance(_dot(scope).type, T.ArrayType) and isinstance(scope.dot.type.elementType, T.StringType):
@@ -632,6 +837,29 @@ def _call(node, scope):
     raise Unsupported(f"{name}/{len(args)}")
 
 
+def _replaced(x: Column, pattern: str, by, every: bool) -> Column:
+    """gsub or sub by a text, or by one with named groups in it."""
+    quoted = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
+    parts = [by] if by[0] == "literal" else list(by[1]) if by[0] == "join" else []
+    names = re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)
+    out = []
+    for p in parts:
+        if p[0] == "literal" and isinstance(p[1], str):
+            out.append(quoted(p[1]))
+        elif p[0] == "text" and p[1] is None and p[2][0] == "index" and p[2][1] == ("id",) and p[2][2][0] == "literal" and p[2][2][1] in names and _plain_groups(pattern):
+            out.append(f"${names.index(p[2][2][1]) + 1}" if every else f"${names.index(p[2][2][1]) + 2}")
+        else:
+            raise Unsupported("replacement")
+    if not parts:
+        raise Unsupported("replacement")
+    if every:
+        return F.regexp_replace(x, F.lit(java(pattern)), F.lit("".join(out)))
+    # the first match: all that stands before it is put back
+    if re.search(r"\\[1-9]|\^", pattern):
+        raise Unsupported("pattern")
+    return F.regexp_replace(x, F.lit(f"(?s)\\A(.*?)(?-s){java(pattern)}"), F.lit("$1" + "".join(out)))
+
+
 def _reduce(node, scope):
     """reduce .x[] as $v (0; f), the state a number."""
     _, source, pattern, start, update, _ = node
@@ -656,8 +884,14 @@ def _logic(a, b, join) -> Value:
     return Value(join(truthy(a), truthy(b)), BOOLEAN, join(condition(a), condition(b)))
 
 
+def _try(node, scope):
+    if sure(node[1]):
+        return scalar(node[1], scope)
+    raise Unsupported("try")
+
+
 RULES = {
     "id": lambda n, s: _dot(s), "literal": _literal, "var": _var, "index": _index, "slice": _slice, "pipe": _pipe, "binary": _binary, "alt": _alt, "if": _if, "object": _object,
-    "negate": lambda n, s: Value(-num(scalar(n[1], s)), DOUBLE), "as": _as, "join": _join, "assign": _assign, "array": _array, "format": _format, "call": _call, "reduce": _reduce,
+    "negate": lambda n, s: Value(-num(scalar(n[1], s)), DOUBLE), "as": _as, "join": _join, "assign": _assign, "array": _array, "format": _format, "call": _call, "reduce": _reduce, "try": _try,
     "and": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a & b), "or": lambda n, s: _logic(scalar(n[1], s), scalar(n[2], s), lambda a, b: a | b),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..api import compile_each
 from ..functions import kernel
-from ..operators.bags import Aggregates, Bag, flat, is_call, listed
+from ..operators.bags import Aggregates, Bag, Unnumbered, flat, is_call, listed
 from ..plans.columns import Row, Scope, Unsupported, Value, scalar, struct
 from ..plans.parse import parse
 
@@ -38,7 +38,10 @@ def windowed(df: DataFrame, program: str, time: str, size: str, late: str, slide
         if k[0] == "index" and k[1] == ("id",):
             keys[k[2][1]] = Value(v.col, v.type)
     reader = Aggregates(bag, keys)
-    out = scalar(stages[1][2][0], Scope(None, bag=reader))
+    try:
+        out = scalar(stages[1][2][0], Scope(None, bag=reader))
+    except Unnumbered:
+        raise Unsupported("rows of a window have no order") from None
     if not isinstance(out, Row) or reader.needs_order:
         raise Unsupported("a windowed program's output is an object of keys and aggregates")
     frame = F.window(F.col(time), size, slide) if slide else F.window(F.col(time), size)
