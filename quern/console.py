@@ -37,12 +37,16 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--tab", dest="layout", action="store_const", const="\t")
     p.add_argument("--indent", dest="layout", type=int, metavar="N")
     p.add_argument("-f", "--from-file", metavar="FILE")
-    for name in ("arg", "argjson", "slurpfile", "rawfile"):
+    for name in PAIRED:
         p.add_argument(f"--{name}", nargs=2, action="append", default=[], metavar=("NAME", "VALUE"))
     p.set_defaults(layout=2)
     return p
 
 
+#: Options that take a name and a value.
+PAIRED = ("arg", "argjson", "slurpfile", "rawfile")
+
+
 class Refused(Exception):
     """Arguments that can't be used."""
 
@@ -105,8 +109,26 @@ def rows_of(job: Job, paths: list[str], named_files: bool, lines: bool) -> Itera
     return evaluate(job, lambda run: read(here(paths, job.raw), job, run), lambda: (t for _, t in here(paths, False)))
 
 
+def given(argv: list[str]) -> tuple[list[str], dict]:
+    """The arguments without those options that take a name and a value, which may begin with a hyphen; and these by option."""
+    rest, found, at = [], {k: [] for k in PAIRED}, 0
+    while at < len(argv):
+        name = argv[at].removeprefix("--")
+        if argv[at] == "--":
+            break
+        if argv[at].startswith("--") and name in found and at + 2 < len(argv):
+            found[name].append(argv[at + 1 : at + 3])
+            at += 3
+        else:
+            rest.append(argv[at])
+            at += 1
+    return rest + argv[at:], found
+
+
 def main(argv: list[str] | None = None) -> int:
-    o = options().parse_intermixed_args(argv)
+    rest, pairs = given(sys.argv[1:] if argv is None else argv)
+    o = options().parse_intermixed_args(rest)
+    vars(o).update(pairs)
     say = functools.partial(print, file=sys.stderr)
     try:
         words, named = list(o.words), variables(o)

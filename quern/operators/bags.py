@@ -66,6 +66,8 @@ class Bag:
         for k in self.order:
             if not k.down:
                 parts.append(F.col(k.name))
+            elif isinstance(self.df.schema[k.name].dataType, T.BooleanType):
+                parts += [F.col(k.name).isNull(), ~F.col(k.name)]
             elif isinstance(self.df.schema[k.name].dataType, T.NumericType):
                 x = F.col(k.name).cast("double")
                 parts += [x.isNull(), ~F.isnan(x), -x]
@@ -115,7 +117,11 @@ class Bag:
         if not self.order and isinstance(self.with_order().df.schema[ORD].dataType, T.StructType):
             b = replace(self, order=[Key(ORD)], placed=False)
         rows = b.ordered()
-        return replace(b, df=(rows.offset(skipped) if skipped else rows).limit(max(0, n)), placed=True)
+        rows = (rows.offset(skipped) if skipped else rows).limit(max(0, n))
+        if not b.order:
+            return replace(b, df=rows)
+        # the rows lie in one partition, in order, which from now on is the input's
+        return Bag(rows.drop(*b.hidden()).withColumn(ORD, F.monotonically_increasing_id()), b.single)
 
     def at(self, n: int) -> Bag:
         """One row: that at a place, from the end if negative, or a row of nulls."""
@@ -295,8 +301,7 @@ class Program:
             if a >= 0 and (b is None or b >= 0):
                 return bag.head((2**31 - 1 if b is None else b) - a, a)
             if a < 0 and b is None:
-                last = bag.reversed().head(-a)
-                return replace(last, order=bag.order or [Key(ORD)], placed=False)
+                return replace(bag.reversed().head(-a), order=[Key(ORD, True)], placed=False)
             raise Unsupported("slice")
         if s[0] == "binary" and s[1] in "+-" and (sides := [self.side(x, bag) for x in s[2:4]]) and all(sides):
             return together(s[1], *sides)
