@@ -5,15 +5,19 @@ A pair of 64-bit fingerprints that differ in at most ``bits`` places differs in
 vantage-point tree: a level has one vantage point, and its branches are the exact
 Hamming distances to it within the block.  By the triangle inequality the distances of a
 pair to any vantage point differ by no more than the pair's own distance, and have the
-parity of that distance; all other branches are pruned.  The first levels cut the table
-into shards, to which boundary-overlapping fingerprints are also sent; further levels
-are walked inside a shard, and pairs that are left are compared over all 64 bits.
+parity of that distance; all other branches are pruned.  The first levels, as many as the
+table's size asks for, cut it into shards, to which boundary-overlapping fingerprints are also sent;
+a shard of more than SHARD_MOST rows is dealt to several tasks, each for two shares of its
+rows.  Further levels are walked inside a shard, and pairs that are left, and not yet
+connected by others, are compared over all 64 bits.
 Trees over the whole word prune hardly anything (a level of rings keeps 0.6 of all
 pairs within 4 bits), trees over blocks prune to about a third a level.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +31,10 @@ from .store import column, grouped, small_batches, stored
 
 SEED = 42
 BLOCKS = 3
-SHARD_LEVELS = 3
+#: Rows of a shard on average, at most; a level cuts a table into about eight parts of like size.
+SHARD_ROWS, PARTS = 2_000, 8
+#: Rows of a shard that one task walks.
+SHARD_MOST = 4_096
 DEEP_LEVELS = 14
 #: Comparisons below which a branch is not split further.
 LEAF = 1 << 16
@@ -95,20 +102,41 @@ class Links:
     """Nodes joined so far; join() takes index pairs, most of them joined already."""
 
     def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
+        self.up = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The least node that each node is joined to; only the paths of these nodes are shortened."""
+        r = self.up[x]
+        while not np.array_equal(above := self.up[r], r):
+            r = above
+        self.up[x] = r
+        return r
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
-            ra, rb = self.root[a], self.root[b]
+            ra, rb = self.find(a), self.find(b)
             if not (new := ra != rb).any():
                 return
-            a, b, hi, lo = a[new], b[new], np.maximum(ra, rb)[new], np.minimum(ra, rb)[new]
-            np.minimum.at(self.root, hi, lo)
-            while not np.array_equal(up := self.root[self.root], self.root):
-                self.root = up
-
-
-def _compare(a, b, fps, bits, links) -> None:
+            a, b = a[new], b[new]
+            np.minimum.at(self.up, np.maximum(ra, rb)[new], np.minimum(ra, rb)[new])
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether all of these are joined already."""
+        r = self.find(a)
+        return bool((r == r[0]).all() and (self.find(b) == r[0]).all())
+
+    @property
+    def root(self) -> np.ndarray:
+        return self.find(np.arange(len(self.up)))
+
+
+def _compare(a, b, same, fps, bits, links) -> None:
+    if same and len(a) > 8:
+        # in a group of near copies one row reaches most, and only the others meet all
+        near = np.bitwise_count(fps[a[0]] ^ fps[a]) <= bits
+        if 4 * near.sum() > len(a):
+            links.join(np.full(near.sum(), a[0]), a[near])
+            a = a[~near]
     step = max(1, LEAF * 4 // max(1, len(b)))
     for i in range(0, len(a), step):
         x, y = np.nonzero(np.bitwise_count(fps[a[i : i + step], None] ^ fps[None, b]) <= bits)
@@ -118,8 +146,10 @@ def _compare(a, b, fps, bits, links) -> None:
 
 def _search(a, b, same, tree, level, radius, bits, fps, rings, links) -> None:
     """Link the pairs of a and b; same: a and b are one set."""
+    if links.joined(a, b):
+        return
     if len(a) * len(b) <= LEAF or level >= DEEP_LEVELS:
-        _compare(a, b, fps, bits, links)
+        _compare(a, b, same, fps, bits, links)
         return
     if level not in rings:
         rings[level] = _rings(fps, tree, level)
@@ -135,49 +165,61 @@ def _search(a, b, same, tree, level, radius, bits, fps, rings, links) -> None:
 def near_pairs(reps: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b): links that connect exactly the nodes whose fingerprints are chained by steps of at most ``bits``.
 
-    reps: (fp, rep), fp distinct.  Inside a shard only a spanning set of links is kept.
+    reps: (fp, rep), fp distinct, a stored table.  Inside a shard only a spanning set of links is kept.
     """
     spark = reps.sparkSession
     radius = bits // BLOCKS
-    keys = ["tree", *(f"r{i}" for i in range(SHARD_LEVELS))]
-    schema = ", ".join(f"{k} int" for k in keys) + ", visits boolean, fp long, rep long"
-    moves = [(0,) * SHARD_LEVELS, *_moves(radius, SHARD_LEVELS)]
-
-    def spread(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for tree in range(BLOCKS):
-                home = [_rings(fps, tree, i) for i in range(SHARD_LEVELS)]
-                for k, move in enumerate(moves):
-                    n = len(fps)
-                    cells = [pa.array((h + m).astype(np.int32)) for h, m in zip(home, move, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), *cells, pa.array(np.full(n, k > 0)), batch.column(0), batch.column(1)], names=[*keys, "visits", "fp", "rep"])
+    levels = max(1, min(DEEP_LEVELS, math.ceil(math.log(max(1, reps.count()) / SHARD_ROWS) / math.log(PARTS))))
+    keys = ["tree", *(f"r{i}" for i in range(levels))]
+    moves = [(0,) * levels, *_moves(radius, levels)]
+
+    def signed(x: int):
+        return F.lit(x - (1 << 64) if x >> 63 else x)
+
+    cells = []
+    for tree, mask in enumerate(_masks()):
+        home = [F.bit_count(F.col("fp").bitwiseXOR(signed(_vantage(tree, i))).bitwiseAND(signed(mask))) for i in range(levels)]
+        cells += [F.struct(F.lit(tree).alias("tree"), *((h + F.lit(m)).alias(f"r{i}") for i, (h, m) in enumerate(zip(home, move, strict=True))), F.lit(k > 0).alias("visits")) for k, move in enumerate(moves)]
+    rows = reps.select("fp", "rep", F.explode(F.array(*cells)).alias("cell")).select("cell.*", "fp", "rep")
+    full = stored(rows.groupBy(*keys).count().where(F.col("count") > SHARD_MOST), "full")
+    crowded = full.count()
+    if crowded:
+        shares = full.select(*(F.col(k).alias(f"full_{k}") for k in keys), F.ceil(F.col("count") / SHARD_MOST).cast("int").alias("shares"))
+        same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"full_{k}") for k in keys))
+        met = rows.join(F.broadcast(shares) if crowded < 100_000 else shares, same, "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+        met = met.withColumn("share", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        rows = met.select(*keys, F.least("share", "other").alias("one"), F.greatest("share", "other").alias("two"), "share", "visits", "fp", "rep")
+    else:
+        rows = rows.select(*keys, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("share"), "visits", "fp", "rep")
 
     def link(batches):
-        for key, parts in grouped(batches, keys):
+        for key, parts in grouped(batches, [*keys, "one", "two"]):
             fps = column(parts, "fp").to_numpy().view(np.uint64)
             reps_ = column(parts, "rep").to_numpy()
-            visits = column(parts, "visits").to_numpy()
-            home, guests = np.flatnonzero(~visits), np.flatnonzero(visits)
-            if not len(home):
-                continue
+            visits, share = column(parts, "visits").to_numpy(), column(parts, "share").to_numpy()
+            one, two = key[-2], key[-1]
+            home, guests = [np.flatnonzero(~visits & (share == s)) for s in (one, two)], [np.flatnonzero(visits & (share == s)) for s in (one, two)]
+            sides = [(home[0], home[0], True), (guests[0], home[0], False)] if one == two else [(home[0], home[1], False), (guests[0], home[1], False), (guests[1], home[0], False)]
             links = Links(len(fps))
             rings: dict = {}
-            _search(home, home, True, key[0], SHARD_LEVELS, radius, bits, fps, rings, links)
-            if len(guests):
-                _search(guests, home, False, key[0], SHARD_LEVELS, radius, bits, fps, rings, links)
-            linked = np.flatnonzero(links.root != np.arange(len(fps)))
-            yield pa.RecordBatch.from_arrays([pa.array(reps_[linked]), pa.array(reps_[links.root[linked]])], names=["a", "b"])
+            for a, b, same in sides:
+                if len(a) and len(b):
+                    _search(a, b, same, key[0], levels, radius, bits, fps, rings, links)
+            root = links.root
+            linked = np.flatnonzero(root != np.arange(len(fps)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(reps_[linked]), pa.array(reps_[root[linked]])], names=["a", "b"])
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = reps.select("fp", "rep").mapInArrow(spread, schema).repartition(4 * width, *keys).sortWithinPartitions(*keys)
+    shards = rows.repartition(4 * width, *keys, "one", "two").sortWithinPartitions(*keys, "one", "two")
     return shards.mapInArrow(link, "a long, b long")
 
 
 def near_groups(docs: DataFrame, bits: int = 4, size: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): documents linked directly or by others whose fingerprints differ in at most ``bits`` places.
 
-    Rows of null ids link nothing; they have the component of the rows with their own
+    Null and empty texts have fingerprint 0, which links like any other; very long texts count
+    whole.  Rows of null ids link nothing; they have the component of the rows with their own
     fingerprint, or null.  Equal ids share their rows' links; other columns of docs are
     ignored; an empty table gives no rows.
     """
