@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z) and its words are joined by single spaces.  A notice with up
 to k edits is split into k + 1 pieces, one of which must stand in the text unchanged; an
 automaton over all pieces finds these places, and the regex library's bounded-error
-matching verifies a window around each and reports the span and its edits.  A phrase that
-allows no edits is its own single piece, and stands at word borders.
+matching verifies a window around each and reports the span and its edits.  Spans stand at
+word borders.  A phrase that allows no edits is its own single piece.
 """
 
 from __future__ import annotations
@@ -41,12 +41,15 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 
 class Scanner:
+    """Finds phrases and notices; a notice's spans begin and end at word borders and don't overlap, the ones of fewest edits first."""
+
     def __init__(self, base: dict = BASE, notices: list = NOTICES) -> None:
         rules = [(phrase, label, 0) for phrase, label in base.items()] + list(notices)
         self.rules, self.automaton = [], ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (phrase, label, edits) in enumerate(rules):
-            pattern = None if not edits else regex.compile(rf"(?be)(?:{regex.escape(phrase)}){{e<={edits}}}")
+            # the space in front is read too: where a search begins, the library puts no character in
+            pattern = None if not edits else regex.compile(rf"(?be) (?:{regex.escape(phrase)}){{e<={edits}}}(?![^ ])")
             self.rules.append((phrase, label, edits, pattern))
             cuts = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -55,12 +58,38 @@ class Scanner:
             self.automaton.add_word(seed, (len(seed), at))
         self.automaton.make_automaton()
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, str, int, bool]]]:
-        """(words, spans): a span is (first character, end, label, edits, whether it is a base phrase's) in the joined words."""
+    def verified(self, k: int, joined: str, windows: set) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice's spans within windows that end at word borders.
+
+        The best match of every window counts unless it overlaps a better one; then what that leaves of the window is searched too.
+        """
+        phrase, _, edits, pattern = self.rules[k]
+        kept: list[tuple[int, int, int]] = []
+        padded = " " + joined
+        while windows:
+            found = []
+            for lo, hi in windows:
+                if hi - lo >= len(phrase) - edits and (m := pattern.search(padded, lo, hi + 1)):
+                    found.append((sum(m.fuzzy_counts), m.start(), m.end() - 1, lo, hi))
+            windows = set()
+            for n, start, end, lo, hi in sorted(found):
+                over = [(a, b) for a, b, _ in kept if a < hi and lo < b]
+                if not any(a < end and start < b for a, b in over):
+                    kept.append((start, end, n))
+                elif (start, end, n) not in kept:
+                    edge = lo
+                    for a, b in [*sorted(over), (hi + 1, hi)]:  # spans end at word borders, so what is left does, without the space between
+                        windows.add((edge, min(a - 1, hi)))
+                        edge = max(edge, b + 1)
+            windows = {(lo, hi) for lo, hi in windows if hi > lo}
+        return kept
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, str, int, bool]], str]:
+        """(words, spans, joined words): a span is (first character, end, label, edits, whether it is a base phrase's) in the joined words."""
         words = text.translate(WORDS).split()
         joined = b" ".join(words).decode()
         size = len(joined)
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set] = {}
         spans = []
         for end, (n, rules) in self.automaton.iter(joined):
             start = end + 1 - n
@@ -71,20 +100,14 @@ class Scanner:
                         spans.append((start, end + 1, label, 0, True))
                     continue
                 lo, hi = max(0, start - offset - edits), min(size, start - offset + len(phrase) + edits)
-                held = windows.setdefault(k, [])
-                if held and lo <= held[-1][1]:
-                    held[-1][0] = min(held[-1][0], lo)
-                    held[-1][1] = max(held[-1][1], hi)
-                else:
-                    held.append([lo, hi])
+                if lo and joined[lo - 1] != " ":
+                    lo = joined.find(" ", lo, hi) + 1 or hi
+                if hi < size and joined[hi] != " ":
+                    hi = joined.rfind(" ", lo, hi)
+                if hi - lo >= len(phrase) - edits:
+                    windows.setdefault(k, set()).add((lo, hi))
         for k, held in windows.items():
-            phrase, label, edits, pattern = self.rules[k]
-            for lo, hi in held:
-                if hi - lo < len(phrase) - edits:
-                    continue
-                for found in pattern.finditer(joined, lo, hi):
-                    if found.end() > found.start():
-                        spans.append((found.start(), found.end(), label, sum(found.fuzzy_counts), False))
+            spans += [(start, end, self.rules[k][1], n, False) for start, end, n in self.verified(k, joined, held)]
         return len(words), sorted(spans), joined
 
 
@@ -99,7 +122,10 @@ def summary(found: tuple) -> tuple:
 
 
 def scan_licenses(docs: DataFrame, keep: list[str], with_spans: bool = False) -> DataFrame:
-    """The ``keep`` columns, the summary of every text, and with_spans all spans; null and empty texts have none."""
+    """The ``keep`` columns, the summary of every text, and with_spans all spans; null and empty texts have none.
+
+    Every row has its own, those of equal ids or texts too; very long texts are scanned whole; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     columns = [*keep, "text"] if "text" not in keep else keep
     at = columns.index("text")
