@@ -12,9 +12,9 @@ CHUNK tokens, and what moves between tasks are packed arrays:
    of all chunks, number the words, store the unigram table, and answer each chunk;
 2. each chunk, with its answers, sends every distinct pair and the documents that hold it to
    the pair's owner, chosen by context; contexts that are frequent, a number bounded by the
-   number of owners, are spread over SALTS owners;
+   number FREQUENT, are spread over as many owners as their counts ask for;
 3. owners add up the counts and store the bigram table by owner; counts of counts
-   and the sums of frequent contexts, both bounded, come to the driver;
+   and the sums of frequent contexts, at most FREQUENT rows, come to the driver;
 4. owners read their part, find discounts and backoff weights, and evaluate each pair they
    were asked for; the documents' partial sums are added up by chunk.
 """
@@ -37,8 +37,10 @@ K = 5
 #: Tokens of a chunk, and of an owner's share, about.
 CHUNK = 1_000_000
 SHARE = 1_500_000
-#: Owners of a frequent context.
-SALTS = 32
+#: Bytes of text for each owner of words.
+WORD_BYTES = 1 << 26
+#: Frequent contexts, at most: a context is frequent if it has more than this share of all training tokens.
+FREQUENT = 100_000
 END = U(0x243F6A8885A308D3)
 
 
@@ -159,16 +161,14 @@ def unigram_table(docs: DataFrame, owners: int) -> DataFrame:
             words = [unpack(b, U) for b in column(parts, "words").to_pylist()]
             counts = np.concatenate([unpack(b, np.uint32) for b in column(parts, "counts").to_pylist()])
             distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(at, counts, minlength=len(distinct)).astype(np.int64)
+            total = np.bincount(at, counts, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
             ids = (np.arange(len(distinct)) * owners + owner)[at]
-            if len(distinct) * owners > 1 << 32:
-                raise ValueError("more than 2^32 distinct words")
             ends = np.cumsum([0, *map(len, words)])
             stats = [int((total == r).sum()) for r in range(K + 2)] + [int(total.sum()), int((total > 0).sum()), int(total[total > K].sum())]
             for k, chunk in enumerate(chunks):
                 some = slice(ends[k], ends[k + 1])
                 yield pa.RecordBatch.from_pydict(
-                    {"owner": [owner], "chunk": [chunk], "ids": [pack(ids[some].astype(np.uint32))], "counts": [pack(total[at[some]].astype(np.uint32))], "stats": [stats if not k else None]},
+                    {"owner": [owner], "chunk": [chunk], "ids": [pack(ids[some].astype(U))], "counts": [pack(total[at[some]].astype(U))], "stats": [stats if not k else None]},
                     schema=pa.schema([("owner", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]),
                 )
 
@@ -187,9 +187,23 @@ PAIR = "owner int, chunk long, docs binary, contexts binary, runs binary, words
 PAIR_NAMES = ["docs", "contexts", "runs", "words", "counts", "places", "held", "hot"]
 
 
+def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs in order, where each is first, and which one each row is."""
+    if not len(h) or max(int(h.max()), int(w.max())) < 1 << 32:
+        key, first, at = np.unique(h << U(32) | w, return_index=True, return_inverse=True)
+        return key >> U(32), key & U(0xFFFFFFFF), first, at
+    order = np.lexsort((w, h))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+    at = np.empty(len(h), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
+    return h[first], w[first], first, at
+
+
 def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_owners: int, owners: int) -> DataFrame:
     """One row an owner: its pairs with counts, who asked for them, and sums; and rows of documents."""
-    hot = max(2, words.total // (4 * owners))
+    hot = max(2, words.total // (4 * owners), words.total // FREQUENT + 1)
 
     def state(batches):
         for key, distinct, local, lengths, ids, flags in _chunks(batches):
@@ -210,8 +224,8 @@ def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_own
             token, lengths = unpack(a[0], np.uint32), unpack(b[0], np.uint32)
             ids, extra = unpack(column(parts, "c").to_pylist()[0], np.int64), unpack(column(parts, "d").to_pylist()[0], np.uint8)
             flags, end = extra[:-4], int(extra[-4:].copy().view(np.uint32)[0])
-            word_id = np.concatenate([unpack(x, np.uint32) for x in a[1:]])
-            count = np.concatenate([unpack(x, np.uint32) for x in b[1:]]).astype(np.int64)
+            word_id = np.concatenate([unpack(x, U) for x in a[1:]])
+            count = np.concatenate([unpack(x, U) for x in b[1:]]).astype(np.int64)
             if len(word_id) <= int(token.max()):
                 raise RuntimeError("the documents were read differently the second time; store them first")
             n = len(lengths)
@@ -225,10 +239,10 @@ def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_own
             context = np.empty_like(token)
             context[1:] = token[:-1]
             context[np.cumsum(lengths) - lengths] = end
-            h, w = word_id[context].astype(U), word_id[token].astype(U)
-            frequent, h32 = count[context] >= hot, word_id[context]
-            spread = np.where(frequent, h * U(SALTS) + U(1) + mix(w) % U(SALTS), h * U(SALTS))
-            owner = _owner(spread, owners)
+            h, w = word_id[context], word_id[token]
+            frequent = count[context] >= hot
+            shares = (count[context] // hot + 1).astype(U)
+            owner = _owner(np.where(frequent, mix(h) + U(1) + mix(w) % shares, mix(h)), owners)
             order = np.lexsort((token, context, owner))
             o, x, y = owner[order], context[order], token[order]
             new = np.ones(len(o), dtype=bool)
@@ -242,7 +256,7 @@ def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_own
                 if e > s:
                     first, last = kinds[s], kinds[e] if e < len(kinds) else len(o)
                     some = kinds[s:e]
-                    rows.append((k, chunk, None, pack(word_id[x[some]]), pack(runs[s:e]), pack(word_id[y[some]]), pack(count[y[some]].astype(np.uint32)), pack(doc[order[first:last]]), held, pack(np.unique(h32[order[some][frequent[order[some]]]]))))
+                    rows.append((k, chunk, None, pack(word_id[x[some]]), pack(runs[s:e]), pack(word_id[y[some]]), pack(count[y[some]].astype(U)), pack(doc[order[first:last]]), held, pack(np.unique(h[order[some][frequent[order[some]]]]))))
             yield pa.RecordBatch.from_pydict(
                 dict(zip(("owner", "chunk", *PAIR_NAMES), ([r[i] for r in rows] for i in range(10)), strict=True)),
                 schema=pa.schema([("owner", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in PAIR_NAMES)]),
@@ -259,7 +273,8 @@ def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_own
             if not asked:
                 continue
             get = lambda c, kind: [unpack(cols[c][i], kind) for i in asked]
-            h, w, runs, seen = (np.concatenate(get(c, np.uint32)) for c in ("contexts", "words", "runs", "counts"))
+            h, w, seen = (np.concatenate(get(c, U)) for c in ("contexts", "words", "counts"))
+            runs = np.concatenate(get("runs", np.uint32))
             places = get("places", np.uint32)
             held = get("held", np.uint8)
             learnt = np.concatenate([f[p] == 0 for f, p in zip(held, places, strict=True)])
@@ -267,17 +282,15 @@ def bigram_table(docs: DataFrame, unigrams: DataFrame, words: Unigrams, word_own
             places = np.concatenate(places)
             of_asked = np.repeat(np.arange(len(runs)), runs)
             train = np.bincount(of_asked, learnt, minlength=len(runs)).astype(np.int64)
-            key = h.astype(U) << U(32) | w
-            distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(at, train, minlength=len(distinct)).astype(np.int64)
+            d_h, d_w, first, at = _distinct(h, w)
+            total = np.bincount(at, train, minlength=len(d_h)).astype(np.int64)
             # occurrences by pair
             kind = at[of_asked]
             order = np.argsort(kind, kind="stable")
             stats = [int((total == r).sum()) for r in range(K + 2)]
-            d_h, seen = (distinct >> U(32)).astype(np.uint32), seen[first]
             yield _row(
-                owner, chunks=[int(chunks[i]) for i in asked], contexts=pack(np.diff(d_h, prepend=np.uint32(0))), words=pack((distinct & U(0xFFFFFFFF)).astype(np.uint32)), counts=pack(total.astype(np.uint32)),
-                seen=pack(seen), runs=pack(np.bincount(kind, minlength=len(distinct)).astype(np.uint32)), of=pack(of_chunk[order].astype(np.uint16) if len(asked) < 65536 else of_chunk[order]), places=pack(places[order]), hot=pack(np.unique(np.concatenate(get("hot", np.uint32)))), stats=stats,
+                owner, chunks=[int(chunks[i]) for i in asked], contexts=pack(np.diff(d_h, prepend=U(0))), words=pack(d_w), counts=pack(total.astype(U)),
+                seen=pack(seen[first]), runs=pack(np.bincount(kind, minlength=len(d_h)).astype(U)), of=pack(of_chunk[order].astype(np.uint16) if len(asked) < 65536 else of_chunk[order]), places=pack(places[order]), hot=pack(np.unique(np.concatenate(get("hot", U)))), stats=stats,
             )
 
     state_rows = docs.mapInArrow(state, "chunk long, part int, a binary, b binary, c binary, d binary")
@@ -300,8 +313,8 @@ def _row(owner: int, **columns) -> pa.RecordBatch:
 
 def _contexts(row: dict, words: Unigrams):
     """(contexts, number of each pair's context, pairs' counts, their words' counts, total, above, small, seen mass) of an owner's row."""
-    h = np.cumsum(unpack(row["contexts"], np.uint32), dtype=np.int64)
-    count, seen = unpack(row["counts"], np.uint32).astype(np.int64), unpack(row["seen"], np.uint32).astype(np.int64)
+    h = np.cumsum(unpack(row["contexts"], U), dtype=np.int64)
+    count, seen = unpack(row["counts"], U).astype(np.int64), unpack(row["seen"], U).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
     n = len(first)
@@ -317,6 +330,8 @@ def score(docs: DataFrame, held_mod: int = 7, held_remainder: int = 2) -> DataFr
 
     The model is learnt from the texts whose crc32(doc_id as text) modulo held_mod isn't
     held_remainder; a null id is learnt from.  A null or empty text is one end token.
+    Every row counts, those of equal ids or texts too, and has its own row; a very long text is
+    scored whole; other columns of docs are ignored; an empty table gives no rows.
     docs must read the same rows in the same order twice, as a table of files does.
     With nothing to learn from all tokens are the unknown event, of probability 1.
     """
@@ -325,11 +340,13 @@ def score(docs: DataFrame, held_mod: int = 7, held_remainder: int = 2) -> DataFr
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_mod == held_remainder, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unigrams = unigram_table(rows, width)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    word_owners = max(width, size // WORD_BYTES + 1)
+    unigrams = unigram_table(rows, word_owners)
     *counts, total, distinct, mass = _sums(unigrams, "stats", K + 5)
     words = Unigrams(np.array(counts, float), total, distinct, mass)
     owners = max(width, total // SHARE + 1)
-    table = bigram_table(rows, unigrams, words, width, owners)
+    table = bigram_table(rows, unigrams, words, word_owners, owners)
     discard(unigrams)
     d = discounts(np.array(_sums(table, "stats", K + 2), float))
 
@@ -339,7 +356,7 @@ def score(docs: DataFrame, held_mod: int = 7, held_remainder: int = 2) -> DataFr
                 if row["contexts"] is None:
                     continue
                 h, _, _, _, n, above, small, mass = _contexts(row, words)
-                some = np.flatnonzero(np.isin(h, unpack(row["hot"], np.uint32)))
+                some = np.flatnonzero(np.isin(h, unpack(row["hot"], U).astype(np.int64)))
                 yield pa.RecordBatch.from_pydict({"h": h[some], "n": n[some].astype(np.int64), "above": above[some].astype(np.int64), "mass": mass[some], **{f"s{r}": small[some, r].astype(np.int64) for r in range(K)}})
 
     sums = table.select("contexts", "counts", "seen", "hot").mapInArrow(frequent, "h long, n long, above long, mass double, " + ", ".join(f"s{r} long" for r in range(K)))
@@ -370,7 +387,7 @@ def score(docs: DataFrame, held_mod: int = 7, held_remainder: int = 2) -> DataFr
                 ratio = np.where(count <= K, d[np.minimum(count, K)], 1.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     log = np.where(count > 0, np.log10(scale[of] * ratio * count / np.maximum(n[of], 1)), np.log10(alpha[of]) + np.log10(words.p(seen)))
-                runs, places = unpack(row["runs"], np.uint32), unpack(row["places"], np.uint32)
+                runs, places = unpack(row["runs"], U).astype(np.int64), unpack(row["places"], np.uint32)
                 chunk_of = unpack(row["of"], np.uint16 if len(row["chunks"]) < 65536 else np.uint32)
                 value = np.repeat(log, runs)
                 order, cuts = _by_owner(chunk_of, len(row["chunks"]))
