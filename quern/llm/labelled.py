@@ -22,6 +22,9 @@ def training_ids(labels: DataFrame, target: str, most: int) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of the sample; its ids are at most ``most`` rows, so they are broadcast."""
+    """(doc_id, text, y) of the sample's documents; its ids are at most ``most`` rows, so they are broadcast.
+
+    A document has as many rows as its id has in docs; who learns from them takes one an id.
+    """
     ids = training_ids(labels, target, most)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")

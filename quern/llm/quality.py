@@ -92,7 +92,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     newline = np.ones(256, dtype=bool)
     newline[10] = False
     lines = []
-    for b, a, first in parts:
+    for b, a, first in pieces(body, at, newline):  # cut at line ends only
         lh, ld, ll = words(b, a, newline)
         lines.append((lh, ld + first, ll))
         ends = np.flatnonzero(np.append(b[1:] == 10, True) | np.isin(np.arange(1, len(b) + 1), a[1:]))
@@ -111,7 +111,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of docs and a struct ``stats`` of NAMES."""
+    """The ``keep`` columns of docs and a struct ``stats`` of NAMES.
+
+    Null and empty texts have zeros; every row of an equal id or text has its own row; a very long text is
+    worked on in pieces, with the same result; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     columns = [*keep, "text"] if "text" not in keep else keep
     at = columns.index("text")
@@ -179,8 +183,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple], np.ndarray, float]:
     if not rules:
         return [], np.zeros(0), float(np.log(rate / (1 - rate)))
     m = np.column_stack([holds(r, x) for r in rules]).astype(np.float32)
-    _, first = np.unique(m, axis=1, return_index=True) if len(y) < 5000 else (None, np.arange(len(rules)))
-    m, rules = m[:, np.sort(first)], [rules[i] for i in np.sort(first)]
+    same: dict = {}  # rules that hold for the same rows are one
+    for i, column in enumerate(np.packbits(m.astype(bool), axis=0).T):
+        same.setdefault(column.tobytes(), i)
+    first = list(same.values())
+    m, rules = m[:, first], [rules[i] for i in first]
     mean = m.mean(axis=0)
     scale = np.sqrt(np.maximum(mean * (1 - mean), 0.01))  # a rule's reach counts as in a standardised lasso
     m /= scale
@@ -232,9 +239,12 @@ def compiled(model: tuple[list[tuple], np.ndarray, float], stats: str = "stats")
 def learn_from(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[tuple], np.ndarray, float]:
     """Fit in one task on the statistics of at most ``most`` labelled documents; only the rules come to the driver.
 
-    Without labelled documents every score is one half.
+    Null and empty texts are learnt from as any other, a very long text is one row.  Of rows of equal ids the
+    one of the least statistics counts, and a document labelled twice is good if any label says so.
+    Without labelled documents, or in empty tables, every score is one half.  Other columns of docs and labels are ignored.
     """
-    sample = with_statistics(training_texts(docs, labels, "quality", most), ["doc_id", "y"]).select("doc_id", "y", "stats.*")
+    every = with_statistics(training_texts(docs, labels, "quality", most), ["doc_id", "y"])
+    sample = every.groupBy("doc_id", "y").agg(F.min("stats").alias("stats")).select("doc_id", "y", "stats.*")
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]

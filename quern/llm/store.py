@@ -2,55 +2,62 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.ship import ship
+
 #: Rows in one Arrow batch: texts can be very long, so few.
 BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the Arrow batches that Python workers get to a few rows, and let the workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_quern_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="quern-code-")  # the driver serves the archive from here until it ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder) / f"quern-{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in root.rglob("*.py"):
-            z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._quern_shipped = True
+    """Hold the Arrow batches that Python workers get to a few rows, and let the workers import this package.
+
+    The setting stays, since plans are made when they run; a smaller one of the caller's is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """This session's folder below spark.checkpoint.dir, deleted when the driver's JVM ends.
+
+    Only a local session may do without the setting, as tests do; elsewhere executors couldn't see the driver's own folder.
+    """
+    context = spark.sparkContext
+    held = getattr(context, "_quern_folder", None)
+    if held:
+        return held
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
-        else:
+        elif context.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="quern-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    held = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(held)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    context._quern_folder = held
+    return held
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Bytes worked on at once; the arrays take about 40 bytes for each.
@@ -27,18 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-#: A random odd value for each byte, and powers of an odd base.
-BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-BASE = 0x9DDFEA08EB382D69
-_powers = np.array([1], dtype=U)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        n = max(n, 2 * len(_powers), 256)
-        _powers = np.cumprod(np.concatenate([[U(1)], np.full(n - 1, BASE, dtype=U)]))
-    return _powers
+#: Bits of the first n bytes of a 64-bit word.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +45,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def pieces(body: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Cut into about PIECE bytes at text ends, or in a longer text at white space: (bytes, offsets, first text)."""
+def pieces(body: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Cut into about PIECE bytes at text ends, or in a longer text at bytes that aren't inside words: (bytes, offsets, first text)."""
     first, n = 0, len(at) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
@@ -62,7 +55,7 @@ def pieces(body: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
             while start < end:
                 cut = min(end, start + PIECE)
                 while cut < end:
-                    gap = np.flatnonzero(~NOT_SPACE[body[cut : cut + PIECE]])
+                    gap = np.flatnonzero(~inside[body[cut : cut + PIECE]])
                     cut = min(end, cut + (int(gap[0]) if len(gap) else PIECE))
                     if len(gap):
                         break
@@ -74,28 +67,38 @@ def pieces(body: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def words(body: np.ndarray, at: np.ndarray, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, length in bytes) of every word in order; bytes are lower-cased, words end with their text."""
+    """(hash, text number, length in bytes) of every word in order; bytes are lower-cased, words end with their text.
+
+    A hash is made of a word's length and its bytes, eight at a time, each step a bijection of the
+    hash so far and the bytes: words of up to eight bytes have different hashes, longer ones
+    equal ones with a chance of 2^-64 a pair, whatever their pattern.  Words of more than LONG bytes have their XXH64.
+    """
+    none = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(body):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     low = LOWER[body]
     is_word = inside[low]
     edge = np.zeros(len(body) + 1, dtype=bool)
     edge[at] = True
-    before = np.empty_like(is_word)
-    before[0] = False
-    before[1:] = is_word[:-1]
-    starts = np.flatnonzero(is_word & (~before | edge[:-1]))
+    border = np.empty(len(body) + 1, dtype=bool)  # between a byte and the next: a text ends, or a word does
+    border[0] = border[-1] = True
+    border[1:-1] = edge[1:-1] | (is_word[1:] != is_word[:-1])
+    starts = np.flatnonzero(border[:-1] & is_word)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number = np.cumsum(np.bincount(starts, minlength=len(body)).astype(np.int32)) - 1
-    inner = np.flatnonzero(is_word)
-    of = number[inner]
-    place = inner - starts[of]
-    length = np.bincount(of, minlength=len(starts))
-    value = BYTE[low[inner]] * powers(int(length.max()))[place]
-    first = np.zeros(len(starts), dtype=np.int64)
-    first[1:] = np.cumsum(length)[:-1]
-    return mix(np.add.reduceat(value, first)), np.searchsorted(at, starts, "right") - 1, length
+        return none
+    length = np.flatnonzero(border[1:] & is_word) + 1 - starts
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(low) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    value = mix(length.astype(U) * U(0x9E3779B97F4A7C15))
+    todo, done = np.flatnonzero(length <= LONG), 0
+    while len(todo):
+        left = length[todo] - done
+        value[todo] = mix(value[todo] ^ (lanes[starts[todo] + done] & FIRST[np.minimum(left, 8)]))
+        done += 8
+        todo = todo[left > 8]
+    for k in np.flatnonzero(length > LONG):
+        value[k] = xxhash.xxh64_intdigest(low[starts[k] : starts[k] + length[k]].tobytes(), 42)
+    return value, np.searchsorted(at, starts, "right") - 1, length
 
 
 def batch_words(texts: pa.Array, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

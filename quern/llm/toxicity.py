@@ -81,7 +81,9 @@ def train(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, n
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt on the executors from a sample of at most ``most`` labelled documents, in one task.
 
-    Without labelled documents the intercept alone is left, at 0.
+    Null and empty texts are learnt from as texts without features.  Of rows of equal ids the one whose
+    packed features are least counts, and a document labelled twice is toxic if any label says so.
+    Without labelled documents, or in empty tables, the intercept alone is left, at 0.  Other columns of docs and labels are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -101,13 +103,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
             kept, w = train([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows]))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], names=["feature", "weight"])
 
-    sample = training_texts(docs, labels, "toxic", most).select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, features binary")
+    every = training_texts(docs, labels, "toxic", most).select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, features binary")
+    sample = every.groupBy("doc_id", "y").agg(F.min("features").alias("features"))
     rows = sample.repartition(1).mapInArrow(run, "feature long, weight double").toArrow()
     return rows["feature"].to_numpy(), rows["weight"].to_numpy()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of docs and a score from 0 to 1; null and empty texts get the intercept's."""
+    """The ``keep`` columns of docs and a score from 0 to 1, a row for every row of docs.
+
+    Null and empty texts get the intercept's; equal texts get equal scores, whatever their ids; very long
+    texts are scored whole; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     kept, w = model
     columns = [*keep, "text"] if "text" not in keep else keep

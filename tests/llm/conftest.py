@@ -32,12 +32,14 @@ def sf_dir(spark, tmp_path_factory, docs):
     """A folder of tables as the queries read them."""
     folder = str(tmp_path_factory.mktemp("tables"))
     docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame(label_rows(), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    labels = [(*r, "label text", 1, 7, "en", 0.5, "f") for r in label_rows()]  # names that clash with those of documents and operators
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string, y int, n_chars long, lang string, score double, features string").write.parquet(f"{folder}/labels.parquet")
     draw = random.Random(5)
     base = [[draw.gauss(0, 1) for _ in range(16)] for _ in range(40)]
     vectors = [(i, v, 0) for i, v in enumerate(base)] + [(100 + i, [x + draw.gauss(0, 0.02) for x in v], 1) for i, v in enumerate(base[:15])] + [(200 + i, v, 2) for i, v in enumerate(base[:5])]
     vectors += [(300, [2 * x for x in base[0]], 1), (301, None, 1), (302, [0.0] * 16, 1), (303, [float("nan")] + [1.0] * 15, 1), (304, [None] + [1.0] * 15, 1), (305, [], 1), (306, [1.0, 2.0], 1), (307, [1.0, 2.0], 1), (None, base[0], 1), (308, [float("inf")] * 16, 1), (309, [1e-30 * x for x in base[1]], 1)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    vectors = [(*r, 3, 5, "x", 2, 9, "h", 1) for r in vectors]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int, rep long, copies long, v string, a long, b long, h string, component_id long").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
