@@ -10,8 +10,8 @@ within budget in several blocks counts in the first of them.
 Pairs are verified where they meet.  The rounded vectors decide all but those whose cosine is within the
 rounding's bound of the threshold, and those few are verified with the vectors themselves in double precision.
 What leaves a cell is a count of links for each vector and links that span its groups, no more
-rows than came in, whatever the number of pairs.  A cell of more than CELL_ROWS rows is dealt to
-several tasks, each for two shares of its rows.
+rows than came in, whatever the number of pairs.  A crowded cell is dealt to several tasks,
+each for two shares of its rows.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ BLOCKS = 8
 GRID, GRID_ROWS, GRID_MOST = 3, 500_000, 6
 #: Steps of a coordinate of length 1.
 SCALE = 32767
-#: Rows of a cell that one task compares with each other.
-CELL_ROWS = 4096
+#: Rows of a cell that one task compares with each other: this part of all vectors, within these bounds.
+CELL_PART, CELL_LEAST, CELL_MOST = 8, 512, 32_768
 #: Comparisons at once.
 AT_ONCE = 1 << 21
 
@@ -67,6 +67,7 @@ class Shape:
         self.slack = 2.5 * math.sqrt(dim) / SCALE + 1e-5 + 2e-7 * dim
         more = max(0, math.ceil(math.log(max(1, rows) / GRID_ROWS) / math.log(2.2)))
         self.grid = min(GRID + more, GRID_MOST, dim // blocks)
+        self.crowd = max(CELL_LEAST, min(CELL_MOST, (1 << 26) // (6 * dim), rows // CELL_PART))
         self.keys = ["block", *(f"g{i}" for i in range(self.grid))]
 
     def rounded(self, v: np.ndarray) -> np.ndarray:
@@ -174,11 +175,11 @@ def found_links(classes: DataFrame, cosine: float, dim: int) -> DataFrame:
 
     schema = ", ".join(f"{k} int" for k in keys)
     cells = classes.select("rep", "copies", "v").mapInArrow(spread, schema + ", visits boolean, rep long, copies long, q binary")
-    full = stored(classes.select("v").mapInArrow(places, schema).groupBy(*keys).count().where(F.col("count") > CELL_ROWS), "full")
+    full = stored(classes.select("v").mapInArrow(places, schema).groupBy(*keys).count().where(F.col("count") > shape.crowd), "full")
     crowded = full.count()
     none = F.lit(0)
     if crowded:
-        shares = full.select(*(F.col(k).alias(f"full_{k}") for k in keys), F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("shares"))
+        shares = full.select(*(F.col(k).alias(f"full_{k}") for k in keys), F.ceil(F.col("count") / shape.crowd).cast("int").alias("shares"))
         same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"full_{k}") for k in keys))
         met = cells.join(F.broadcast(shares) if crowded < 100_000 else shares, same, "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
         met = met.withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).withColumn("other", F.explode(F.sequence(none, F.col("shares") - 1)))

@@ -695,7 +695,8 @@ def test_crowded_cells_are_dealt_out(spark, monkeypatch):
     for threshold in (0.95, 0.999, 0.5):
         expected = ((u @ u.T >= threshold).sum(axis=1) - 1).tolist()
         for most, at_once, grid in ((10, 1 << 21, 500_000), (4096, 1 << 9, 30)):
-            monkeypatch.setattr(vectors, "CELL_ROWS", most)
+            monkeypatch.setattr(vectors, "CELL_LEAST", most)
+            monkeypatch.setattr(vectors, "CELL_MOST", most)
             monkeypatch.setattr(vectors, "AT_ONCE", at_once)
             monkeypatch.setattr(vectors, "GRID_ROWS", grid)
             assert vectors.near_vectors(frame, threshold).toPandas().sort_values("vec_id")["n_links"].tolist() == expected
