@@ -7,8 +7,7 @@ Hamming distances to it within the block.  By the triangle inequality the distan
 pair to any vantage point differ by no more than the pair's own distance, and have the
 parity of that distance; all other branches are pruned.  The first levels, as many as the
 table's size asks for, cut it into shards, to which boundary-overlapping fingerprints are also sent;
-a shard of more than SHARD_MOST rows is dealt to several tasks, each for two shares of its
-rows.  Further levels are walked inside a shard, and pairs that are left, and not yet
+a crowded shard is dealt to several tasks, each for two shares of its rows.  Further levels are walked inside a shard, and pairs that are left, and not yet
 connected by others, are compared over all 64 bits.
 Trees over the whole word prune hardly anything (a level of rings keeps 0.6 of all
 pairs within 4 bits), trees over blocks prune to about a third a level.
@@ -33,8 +32,8 @@ SEED = 42
 BLOCKS = 3
 #: Rows of a shard on average, at most; a level cuts a table into about eight parts of like size.
 SHARD_ROWS, PARTS = 2_000, 8
-#: Rows of a shard that one task walks.
-SHARD_MOST = 4_096
+#: Rows of a shard that one task walks: this part of all fingerprints, within these bounds.
+SHARD_PART, SHARD_LEAST, SHARD_MOST = 16, 1_024, 65_536
 DEEP_LEVELS = 14
 #: Comparisons below which a branch is not split further.
 LEAF = 1 << 16
@@ -169,7 +168,9 @@ def near_pairs(reps: DataFrame, bits: int = 4) -> DataFrame:
     """
     spark = reps.sparkSession
     radius = bits // BLOCKS
-    levels = max(1, min(DEEP_LEVELS, math.ceil(math.log(max(1, reps.count()) / SHARD_ROWS) / math.log(PARTS))))
+    n = reps.count()
+    levels = max(1, min(DEEP_LEVELS, math.ceil(math.log(max(1, n) / SHARD_ROWS) / math.log(PARTS))))
+    most = max(SHARD_LEAST, min(SHARD_MOST, n // SHARD_PART))
     keys = ["tree", *(f"r{i}" for i in range(levels))]
     moves = [(0,) * levels, *_moves(radius, levels)]
 
@@ -181,10 +182,10 @@ def near_pairs(reps: DataFrame, bits: int = 4) -> DataFrame:
         home = [F.bit_count(F.col("fp").bitwiseXOR(signed(_vantage(tree, i))).bitwiseAND(signed(mask))) for i in range(levels)]
         cells += [F.struct(F.lit(tree).alias("tree"), *((h + F.lit(m)).alias(f"r{i}") for i, (h, m) in enumerate(zip(home, move, strict=True))), F.lit(k > 0).alias("visits")) for k, move in enumerate(moves)]
     rows = reps.select("fp", "rep", F.explode(F.array(*cells)).alias("cell")).select("cell.*", "fp", "rep")
-    full = stored(rows.groupBy(*keys).count().where(F.col("count") > SHARD_MOST), "full")
+    full = stored(rows.groupBy(*keys).count().where(F.col("count") > most), "full")
     crowded = full.count()
     if crowded:
-        shares = full.select(*(F.col(k).alias(f"full_{k}") for k in keys), F.ceil(F.col("count") / SHARD_MOST).cast("int").alias("shares"))
+        shares = full.select(*(F.col(k).alias(f"full_{k}") for k in keys), F.ceil(F.col("count") / most).cast("int").alias("shares"))
         same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"full_{k}") for k in keys))
         met = rows.join(F.broadcast(shares) if crowded < 100_000 else shares, same, "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
         met = met.withColumn("share", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))

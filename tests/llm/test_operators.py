@@ -679,6 +679,7 @@ def test_crowded_shards_are_dealt_out(spark, monkeypatch):
     a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4)
     links.join(a, b)
     for most, rows_, leaf in ((60, 50, 1 << 16), (40, 5000, 64), (10_000, 20, 16)):
+        monkeypatch.setattr(simhash, "SHARD_LEAST", most)
         monkeypatch.setattr(simhash, "SHARD_MOST", most)
         monkeypatch.setattr(simhash, "SHARD_ROWS", rows_)
         monkeypatch.setattr(simhash, "LEAF", leaf)
