@@ -337,6 +337,20 @@ def test_unigram(spark, sf_dir):
     assert found == {(i, len((t or "").split()), sum(known[w] for w in (t or "").split())) for i, t, *_ in rows()}
 
 
+def test_unigram_bounds(monkeypatch):
+    """Long words, texts cut in portions and memos that are full count as everything at once does."""
+    scores = unigram.vocabulary(open(registry.MODEL, "rb").read())
+    texts = ["", " \x1c ", *[" ".join(r[1].split()[:3000]) if r[1] else "" for r in rows()], "the日本" * 5000 + " the stone " * 200, "a\u3000b\x85c the"]
+    plain = unigram.Counter(scores)
+    known = plain.walk({w for t in texts for w in t.split()})
+    expected = [len(t.split()) for t in texts], [sum(known[w] for w in t.split()) for t in texts]
+    for name, value in (("LONG", 7), ("PIECE", 50), ("WORDS", 3), ("STEP", 5), ("MEMO", 2000)):
+        monkeypatch.setattr(unigram, name, value)
+        small = unigram.Counter(scores)
+        assert small.totals(texts) == expected
+    assert small.size <= 2000 + 50 * 200 and all(len(w) <= 7 for w in small.memo | small.old)
+
+
 def test_quality(spark, sf_dir):
     found = got(spark, sf_dir, "op8_quality")
     assert len(found) == len(rows())
