@@ -1,8 +1,11 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash values in BANDS bands of ROWS values propose pairs; every proposed pair is checked on
-the texts' whole shingle sets.  A pair of similarity s is proposed with the chance
-1 - (1 - s**ROWS)**BANDS: all but 7 in a million at 0.8.  Pairs are proposed in two steps.
+SimHash fingerprints of the sets, chained by steps of at most BITS bits through the vantage-point
+trees of ``simhash``, propose the pairs of a group, its first bucket.  At a similarity of 0.8 about 9.7 of 64 bits
+differ, so the fingerprints can't reach all pairs; MinHash values in BANDS bands of ROWS values,
+the other buckets, propose those that are left.  A pair of similarity s is proposed by them with the chance
+1 - (1 - s**ROWS)**BANDS: all but 7 in a million at 0.8.  Every proposed pair is checked on
+the texts' whole shingle sets.  Pairs are proposed in two steps.
 First each row of a bucket meets the bucket's least row and the row before it.  Then rows
 of a bucket that are in different components meet each other, all of them, where the bucket's
 sets have been sent; those in one component by then need no comparison, a pair of several
@@ -19,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import Links
+from .simhash import Links, majority, near_pairs
 from .store import column, grouped, small_batches, stored
 
 SEED = 42
 WORDS = 5
+#: Bits by which fingerprints of a SimHash group's steps differ, at most.
+BITS = 5
 BANDS, ROWS = 30, 5
 #: Shingles, or rows of a bucket times rows, that are handled at once.
 AT_ONCE = 1 << 12
@@ -66,18 +71,28 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, size, bands) of every row's shingle set."""
+    """(doc_id, digest, size, fp, bands) of every row's shingle set."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            prints = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "size", "bands"],
+                [batch.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "size", "fp", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest long, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest long, size long, fp long, bands array<long>")
+
+
+def with_groups(reps: DataFrame) -> DataFrame:
+    """reps with the SimHash group of each set as the first of its bands; the empty set is in none."""
+    prints = stored(reps.where("size > 0").groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
+    found = components(near_pairs(prints, BITS)).select(F.col("node").alias("rep"), "component")
+    group = prints.join(found, "rep", "left").select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("component", "rep")).alias("group"))
+    grouped_ = reps.where("size > 0").join(group, "fp").select("digest", "rep", "size", F.concat(F.array("group"), "bands").alias("bands"))
+    return stored(grouped_.union(reps.where("size = 0").select("digest", "rep", "size", "bands")), "grouped")
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
@@ -164,7 +179,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     without words are alike; very long texts count whole; other columns of docs are ignored; an empty table gives no rows.
     """
     rows = stored(sketches(docs.where("doc_id IS NOT NULL")), "sketches")
-    reps = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "reps")
+    reps = with_groups(stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("size", "fp", "bands"))), "reps"))
     ids = rows.groupBy("doc_id").agg(F.min("digest").alias("y"), F.max("digest").alias("z")).where("y <> z").select("doc_id")
     own = rows.join(ids, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = _first_links(_first_pairs(reps.select("digest", "size", F.explode("bands").alias("key"))), docs, reps)

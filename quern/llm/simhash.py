@@ -50,7 +50,11 @@ def fingerprint(text: bytes, size: int = 4) -> int:
     if len(words) <= size:
         return digest(body, SEED)
     starts = [0, *(e + 1 for e in ends[:-1])]
-    hashes = np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=False)), dtype=np.uint64, count=len(words) - size + 1)
+    return majority(np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=False)), dtype=np.uint64, count=len(words) - size + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -735,3 +735,26 @@ def test_stored_tables_need_a_shared_folder(spark):
 
     folder = store.shared_folder(spark)
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and folder == store.shared_folder(spark)
+
+
+def test_near_duplicate_stage_goes_by_the_trees(spark, monkeypatch):
+    # MinHash proposes nothing here: what is linked comes through the trees over fingerprints, and the exact check after them
+    monkeypatch.setattr(shingles, "bands", lambda found: [xxhash.xxh64_intdigest(found.tobytes(), k) - (1 << 63) for k in range(30)] if len(found) else [])
+    draw = random.Random(11)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["first", *words[1:]]), " ".join(f"v{draw.randrange(10**6)}" for _ in range(300)), "", None]
+    prints = [simhash.majority(shingles.shingles((t or "").encode())) for t in texts]
+    assert all((prints[0] ^ prints[i]).bit_count() <= shingles.BITS for i in (1, 2))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingles.near_groups(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
+def test_groups_of_the_trees_are_checked_on_whole_sets(spark, monkeypatch):
+    # all fingerprints are in one group: only pairs that are alike may be linked
+    monkeypatch.setattr(shingles, "BITS", 64)
+    monkeypatch.setattr(shingles, "near_pairs", lambda prints, bits: prints.crossJoin(prints.groupBy().agg({"rep": "min"}).toDF("b")).selectExpr("rep AS a", "b"))
+    texts = [" ".join(f"{k}x{i}" for i in range(60)) for k in range(4)]
+    texts.append(texts[2] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in shingles.near_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
