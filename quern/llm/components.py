@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, stored
 
+#: Links for each file of a round's tables.
+FILE_LINKS = 50_000
+
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node each linked node reaches; links: (a, b), any order.
@@ -22,8 +27,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         .where("x IS NOT NULL AND y IS NOT NULL AND hi <> lo").select("hi", "lo").distinct(),
         "links",
     )
+    # a round's tables are no larger than the links: few links in many files cost more than they hold
+    files = max(1, math.ceil(edges.count() / FILE_LINKS))
     for _ in range(rounds):
-        parent = stored(edges.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n")), "parents")
+        parent = stored(edges.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n")).coalesce(files), "parents")
         above = parent.select(F.col("hi").alias("up"), F.col("up").alias("top"))
         jumped = parent.join(above, "up", "left").select("hi", "up", "n", "top")
         left = jumped.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.count("top").alias("t")).first()
@@ -34,6 +41,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         several = parent.where("n > 1").select("hi", "up")
         hung = edges.join(several, "hi").where("lo <> up").select(F.col("lo").alias("hi"), F.col("up").alias("lo"))
         moved = jumped.select("hi", F.coalesce("top", "up").alias("lo"))
-        last, edges = edges, stored(moved.union(hung).distinct(), "links")
+        last, edges = edges, stored(moved.union(hung).distinct().coalesce(files), "links")
         discard(last)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

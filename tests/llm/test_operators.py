@@ -758,3 +758,16 @@ def test_groups_of_the_trees_are_checked_on_whole_sets(spark, monkeypatch):
     texts.append(texts[2] + " end")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in shingles.near_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_few_links_are_kept_in_few_files(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(0, 400) if i % 20], "a long, b long"))
+        assert len(found.inputFiles()) == 1
+        assert {r["component"] for r in found.collect()} == {i + 1 for i in range(0, 400, 20)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
