@@ -18,6 +18,8 @@ from ..plans.columns import BOOLEAN, DOUBLE, LONG, STRING, Pair, Row, Scope, Uns
 from .ranges import binned
 
 ORD = "__ord"
+#: First rows that a task may hold.
+FEW = 100_000
 
 
 class Unnumbered(Exception):
@@ -112,16 +114,16 @@ class Bag:
         return self.df if self.placed or not self.order else self.df.orderBy(*(k.column() for k in self.order))
 
     def head(self, n: int, skipped: int = 0) -> Bag:
-        """The first rows, in order; a scan of several files is ordered by file and place."""
-        b = self
-        if not self.order and isinstance(self.with_order().df.schema[ORD].dataType, T.StructType):
-            b = replace(self, order=[Key(ORD)], placed=False)
-        rows = b.ordered()
-        rows = (rows.offset(skipped) if skipped else rows).limit(max(0, n))
-        if not b.order:
-            return replace(b, df=rows)
+        """The first rows, in order: a limit alone takes the rows that come first through a shuffle, so the scan's order is sorted by as well."""
+        b = self if self.order else replace(self.with_order(), order=[Key(ORD)], placed=False)
+        by, n = [k.column() for k in b.order], max(0, n)
+        if n + skipped <= FEW:
+            rows = b.df.orderBy(*by)
+            rows = (rows.offset(skipped) if skipped else rows).limit(n)
+        else:  # too many for the memory of a task: sorted on disk, and numbered as they come
+            rows = b.df.withColumn("__n", F.row_number().over(Window.orderBy(*by))).where((F.col("__n") > skipped) & (F.col("__n") <= n + skipped))
         # the rows lie in one partition, in order, which from now on is the input's
-        return Bag(rows.drop(*b.hidden()).withColumn(ORD, F.monotonically_increasing_id()), b.single)
+        return Bag(rows.drop(*b.hidden(), "__n").withColumn(ORD, F.monotonically_increasing_id()), b.single)
 
     def at(self, n: int) -> Bag:
         """One row: that at a place, from the end if negative, or a row of nulls."""

@@ -108,6 +108,35 @@ def test_order_of_files_is_that_of_the_input(spark, table):
     assert compiled(run(spark, table, "map(.i) | .[:4]", "slurp", native=True)) == ["1", "2", "3", "4"]
 
 
+@pytest.fixture(scope="module")
+def one_file(spark, tmp_path_factory):
+    """Numbers in one file that is read in several parts, with another table of them."""
+    path = str(tmp_path_factory.mktemp("one") / "n.parquet")
+    spark.range(20000).selectExpr("id AS i", "sha2(string(id), 512) AS s").coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("200000", "0", "-1"), strict=True):
+        spark.conf.set(k, v)
+    df = spark.read.parquet(path)
+    assert df.rdd.getNumPartitions() > 3 and len(df.inputFiles()) == 1
+    yield df, spark.range(7, 19000).toDF("j")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("program, expected", [(".[0] | {i}", ["7"]), ("[limit(3; .[] | .i)]", ["7", "8", "9"]), ("first(.[] | select(.i > 50) | .i)", ["51"]), (".[5:8] | map(.i)", ["12", "13", "14"])])
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_first_rows_of_one_file(spark, one_file, monkeypatch, program, expected, few):
+    """A shuffle in front of the first rows doesn't change which they are, and a limit isn't taken of rows as they come."""
+    from quern.operators import bags
+
+    monkeypatch.setattr(bags, "FEW", few)
+    df, other = one_file
+    found = run(spark, df, "map(select(IN(.i; $t[].j))) | " + program, "slurp", tables={"t": other}, native=True)
+    assert [str(r[0]) for r in found.collect()] == expected
+    plan = run(spark, df, program, "slurp", native=True)._jdf.queryExecution().executedPlan().toString()
+    assert ("Window" in plan) if few == 0 else ("TakeOrderedAndProject" in plan)
+
+
 def test_plan_of_everyday_programs(spark, table):
     """Nothing is gathered: no Python, and aggregates are partial first."""
     for program in ("map(.i) | add", "map(.i) | max", "map(.i) | add / length", "group_by(.k) | map(length) | max"):
