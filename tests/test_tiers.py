@@ -123,7 +123,7 @@ def one_file(spark, tmp_path_factory):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("program, expected", [(".[0] | {i}", ["7"]), ("[limit(3; .[] | .i)]", ["7", "8", "9"]), ("first(.[] | select(.i > 50) | .i)", ["51"]), (".[5:8] | map(.i)", ["12", "13", "14"])])
+@pytest.mark.parametrize("program, expected", [(".[0] | {i}", ["7"]), ("nth(2) | {i}", ["9"]), ("[limit(3; .[] | .i)]", ["7", "8", "9"]), ("first(.[] | select(.i > 50) | .i)", ["51"]), (".[5:8] | map(.i)", ["12", "13", "14"])])
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_first_rows_of_one_file(spark, one_file, monkeypatch, program, expected, few):
     """A shuffle in front of the first rows doesn't change which they are, and a limit isn't taken of rows as they come."""
