@@ -220,22 +220,49 @@ def split(a: Value, b: Value) -> Value:
     return Value(F.when(a.col == "", F.array().cast("array<string>")).otherwise(F.split(a.col, quoted, -1)), T.ArrayType(STRING))
 
 
+def once(col: Column, f) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.transform(F.array(col), f)[0]
+
+
+#: Places behind the point that are tried by arithmetic before digits are made as text.
+PLACES = 4
+
+
 def number_text(v: Value) -> Column:
     """How a number prints: the fewest digits that read back, an exponent only far from the point; null for null."""
     x = v.col.cast("double")
-    whole = F.when(F.abs(x) < 1e15, x).cast("long")
     if isinstance(v.type, T.IntegralType) and not isinstance(v.type, T.LongType):
         return v.col.cast("string")
+    a = F.abs(x)
+    whole = F.when(a < 1e15, x).cast("long")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    out = F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("null")).when((whole == x) & (whole != 0), whole.cast("string")).when(x == 0, F.when(x.cast("string") == "-0.0", F.lit("-0")).otherwise(F.lit("0")))
+    for k in range(1, PLACES + 1):  # of decimals of at most 15 digits one reads back, that of the fewest places; m / 10^k is rounded once, as reading is
+        m = F.rint(F.when(a < 10.0 ** (15 - k), a * F.lit(10.0**k)))
+        behind = (m.cast("long") % F.lit(10**k)).cast("string")
+        out = out.when((a >= 1e-4) & (m / F.lit(10.0**k) == a), F.concat(sign, F.abs(whole).cast("string"), F.lit("."), F.lpad(behind, k, "0")))
+    return out.when(a == float("inf"), F.concat(sign, F.lit("1.7976931348623157e+308"))).otherwise(F.concat(sign, once(a, digits)))
+
+
+def digits(a: Column) -> Column:
+    """The text of a finite number above zero, each step of it computed once."""
     # Java's own digits aren't always the fewest, so 15 and 16 of them are tried first
-    shorter = [F.format_string(f"%.{n}e", F.abs(x)) for n in (14, 15)]
-    found = F.when(shorter[0].cast("double") == F.abs(x), shorter[0]).when(shorter[1].cast("double") == F.abs(x), shorter[1]).otherwise(F.abs(x).cast("string"))
-    low = F.lower(found)
-    mantissa = F.substring_index(low, "e", 1)
+    tried = lambda n, other: once(F.format_string(f"%.{n}e", a), lambda s: F.when(s.cast("double") == a, s).otherwise(other))
+    return once(F.lower(tried(14, tried(15, a.cast("string")))), lambda low: once(F.substring_index(low, "e", 1), lambda mantissa: placed(low, mantissa)))
+
+
+def placed(low: Column, mantissa: Column) -> Column:
     exponent = F.when(F.contains(low, F.lit("e")), F.substring_index(low, "e", -1).cast("int")).otherwise(F.lit(0))
     every = F.replace(mantissa, F.lit("."), F.lit(""))
     lead = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
     body = F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0"))
     point = F.instr(F.concat(mantissa, F.lit(".")), ".") - 1 - lead + exponent
+    return once(body, lambda body: once(point, lambda point: shown(body, point)))
+
+
+def shown(body: Column, point: Column) -> Column:
+    """Digits with the point behind so many of them, or with an exponent."""
     n = F.length(body)
     e = point - 1
     far = F.concat(F.substring(body, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(body, F.lit(2), n))).otherwise(F.lit("")), F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
@@ -244,15 +271,7 @@ def number_text(v: Value) -> Column:
         .when(n <= point, F.concat(body, F.repeat(F.lit("0"), point - n)))
         .otherwise(F.concat(F.substring(body, F.lit(1), point), F.lit("."), F.substring(body, point + 1, n)))
     )
-    digits = F.when((point <= -4) | (point > n + 15), far).otherwise(near)
-    minus = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("null"))
-        .when((whole == x) & (whole != 0), whole.cast("string"))
-        .when(x == 0, F.concat(minus, F.lit("0")))
-        .when(F.abs(x) == float("inf"), F.concat(minus, F.lit("1.7976931348623157e+308")))
-        .otherwise(F.concat(minus, digits))
-    )
+    return F.when((point <= -4) | (point > n + 15), far).otherwise(near)
 
 
 def tostring(v) -> Column:
